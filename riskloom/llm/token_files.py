@@ -102,16 +102,15 @@ class Decoder:
         self.bits[: len(filled)] = lengths[filled]
 
     def decode(self, payload: bytes, lane_bits: np.ndarray, n_ids: int, lane: int = LANE) -> np.ndarray:
-        data = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint64)
+        data = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint32)
+        data = (data[:-3] << np.uint32(24)) | (data[1:-2] << np.uint32(16)) | (data[2:-1] << np.uint32(8)) | data[3:]  # 32 bits from each byte on
         at, lanes = lane_bits.astype(np.int64).copy(), len(lane_bits)
         out = np.zeros((lanes, lane), np.uint32)
-        mask = np.uint64((1 << self.most) - 1)
+        mask = np.uint32((1 << self.most) - 1)
         last = n_ids - (lanes - 1) * lane if lanes else 0
         for k in range(lane if lanes > 1 else last):
             a = at if k < last else at[:-1]
-            b = a >> 3
-            window = (data[b] << np.uint64(24)) | (data[b + 1] << np.uint64(16)) | (data[b + 2] << np.uint64(8)) | data[b + 3]
-            code = (window >> (np.uint64(32 - self.most) - (a & 7).astype(np.uint64))) & mask
+            code = (data[a >> 3] >> (np.uint32(32 - self.most) - (a & 7).astype(np.uint32))) & mask
             out[: len(a), k] = self.ids[code]
             a += self.bits[code]
         return out.reshape(-1)[:n_ids]
@@ -137,8 +136,9 @@ def _ids(data: bytes) -> np.ndarray:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for data in batch.column("ids").to_pylist():
-            n = np.bincount(_ids(data))
+        texts = batch.column("ids").to_pylist()
+        for at in range(0, len(texts), 500):  # a count touches every id of the vocabulary, so many texts share one
+            n = np.bincount(np.concatenate([_ids(data) for data in texts[at : at + 500]]))
             if len(n) > len(total):
                 n[: len(total)] += total
                 total = n
