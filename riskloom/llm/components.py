@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import written
+from riskloom.llm.common import tidy, written
 
 MOST_EDGES = 500_000
 
@@ -55,7 +55,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
     """edges: u, v (longs). Returns node, label: of each node with an edge, the smallest node reachable."""
-    now = written(edges.select("u", "v").filter("u <> v").mapInArrow(_contracted, "u long, v long").distinct(), "edges-0", folder)
+    now = written(edges.select("u", "v").filter("u <> v").mapInArrow(tidy(_contracted), "u long, v long").distinct(), "edges-0", folder)
     sums = None
     for k in range(1, 100):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

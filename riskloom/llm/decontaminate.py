@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import doc_texts, new_folder, table, texts_of, written
+from riskloom.llm.common import doc_texts, new_folder, table, texts_of, tidy, written
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -125,7 +125,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
 
 def _passed(rows: DataFrame, block: list) -> DataFrame:
     held = rows.sparkSession.sparkContext.broadcast(block)
-    return rows.mapInArrow(lambda batches: _scan(held, batches), SCANNED)
+    return rows.mapInArrow(tidy(lambda batches: _scan(held, batches)), SCANNED)
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])
@@ -146,7 +146,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def report(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    return scan(docs, benchmark, block_bytes).mapInArrow(_digest, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return scan(docs, benchmark, block_bytes).mapInArrow(tidy(_digest), "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def _span_remover(windows: Windows):
@@ -179,7 +179,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
                 texts = [None if x is None else remove(x) for x in batch.column(k).cast(pa.binary()).to_pylist()]
                 yield batch.set_column(k, batch.schema.field(k), pa.array(texts, pa.binary()).cast(batch.schema.field(k).type))
 
-        out = out.mapInArrow(clean, docs.schema)
+        out = out.mapInArrow(tidy(clean), docs.schema)
     return out.select([n for n, _ in fields])
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import doc_texts, new_folder, record, table, texts_of, written
+from riskloom.llm.common import doc_texts, new_folder, record, table, texts_of, tidy, written
 
 CAPACITY, MAX_DEPTH, START_DEPTH = 20_000, 24, 6
 HEAVY, BROADCAST_MOST = 500, 50_000
@@ -166,7 +166,7 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row; the index is left in the shared folder."""
     spark = docs.sparkSession
     rows, folder = doc_texts(docs), new_folder(spark, "dedup")
-    keyed = written(rows.mapInArrow(_keyed, "doc_id long, key long, text_sha256 string"), "keyed", folder)
+    keyed = written(rows.mapInArrow(tidy(_keyed), "doc_id long, key long, text_sha256 string"), "keyed", folder)
     directory = _directory(keyed, capacity)
     total, texts = keyed.count(), int(directory.counts.sum())
     owners = max(1, min(len(directory.counts), max(texts // capacity + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
@@ -178,8 +178,8 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if len(runs) > 64:
         owner = F.element_at(F.lit(slots.tolist()), (_prefix(directory.depth) + 1).cast("int"))
     spark.createDataFrame([(directory.depth, [int(x) for x in runs], [int(slots[x]) for x in runs])], "depth int, first_slot array<int>, owner array<int>").coalesce(1).write.parquet(f"{folder}/directory")
-    folded = rows.mapInArrow(_folded, "key long, norm binary, keep_id long, n long, ties long")
-    index = folded.repartitionById(owners, owner.cast("int")).sortWithinPartitions("key").mapInArrow(_owned, "key long, chain int, text_sha256 string, keep_id long, group_size long, ties long")
+    folded = rows.mapInArrow(tidy(_folded), "key long, norm binary, keep_id long, n long, ties long")
+    index = folded.repartitionById(owners, owner.cast("int")).sortWithinPartitions("key").mapInArrow(tidy(_owned), "key long, chain int, text_sha256 string, keep_id long, group_size long, ties long")
     index = written(index, "index", folder)
     found = look_up(keyed, index, total)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import doc_texts, mixed, new_folder, record, slices, table, written
+from riskloom.llm.common import doc_texts, mixed, new_folder, record, slices, table, tidy, written
 from riskloom.llm.components import components
 from riskloom.llm.words import Words
 
@@ -270,7 +270,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, name: str, folde
     asked = salted.join(texts.withColumnRenamed("digest", "member"), "member").select("pivot", "salt", "member", "text")
     own = salts.join(texts.withColumnRenamed("digest", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "text")
     met = asked.unionByName(own).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("member").asc_nulls_first())
-    return written(met.mapInArrow(_verified, "member long, pivot long, linked boolean"), f"{name}-links", folder)
+    return written(met.mapInArrow(tidy(_verified), "member long, pivot long, linked boolean"), f"{name}-links", folder)
 
 
 def _rows(docs: DataFrame, folder: str) -> tuple[DataFrame, bool]:
@@ -287,16 +287,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "jaccard")
     rows, unique = _rows(docs, folder)
     keyed = rows.select(F.col("row").alias("doc_id"), "text")
-    scanned = written(keyed.mapInArrow(_sets, "kind int, doc_id long, n long, digest long, bitmap binary"), "sets", folder)
+    scanned = written(keyed.mapInArrow(tidy(_sets), "kind int, doc_id long, n long, digest long, bitmap binary"), "sets", folder)
     sets = scanned.filter("kind = 0").select(F.col("doc_id").alias("row"), "n", "digest", "bitmap")
     sets = sets.withColumn("doc_id", F.col("row")) if unique else sets.join(rows.select("row", "doc_id"), "row")
     top = scanned.filter("kind = 1").groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(FREQUENT).toPandas()
     common = top["digest"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(common)
     frequent = spark.sparkContext.broadcast((common[order], top["n"].to_numpy(np.int64)[order]))
-    postings = rows.select("text").mapInArrow(lambda b: _postings(frequent, b), "token long, digest long, size int, pos int")
+    postings = rows.select("text").mapInArrow(tidy(lambda b: _postings(frequent, b)), "token long, digest long, size int, pos int")
     dealt = postings.repartition(F.col("token")).sortWithinPartitions("token", "size", "digest")
-    shared = written(dealt.mapInArrow(_shared, "token long, digest long, size int, pos int"), "shared", folder)
+    shared = written(dealt.mapInArrow(tidy(_shared), "token long, digest long, size int, pos int"), "shared", folder)
     maps = sets.filter("n > 0").groupBy("digest").agg(F.first("bitmap").alias("bitmap"))
     maps = written(maps.join(shared.select("digest").distinct(), "digest", "left_semi"), "maps", folder)
 
@@ -305,7 +305,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         listed = listed.withColumn("label", F.col("digest")) if labels is None else listed.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         listed = listed.repartition(F.col("token")).sortWithinPartitions("token", "size", "digest")
         second = labels is not None
-        return listed.mapInArrow(lambda b: _pairs(second, b), "member long, pivot long").distinct()
+        return listed.mapInArrow(tidy(lambda b: _pairs(second, b)), "member long, pivot long").distinct()
 
     texts = rows.select("row", "text")
     first = written(read(None), "pairs-1", folder)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import fold, mixed, record, table
+from riskloom.llm.common import fold, mixed, record, table, tidy
 
 BUCKETS, SWITCH, SMOOTH, MOST_LANGUAGES, MOST_WORDS = 1 << 16, 4.0, 0.5, 256, 200_000
 CANDIDATE_SHARE = 0.001
@@ -206,7 +206,7 @@ class Model:
 
 def learn(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     """rows: text, lang. Sums at most BUCKETS + scripts numbers for each language."""
-    sums = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter("text is not null and lang is not null").mapInArrow(_counted, _COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
+    sums = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter("text is not null and lang is not null").mapInArrow(tidy(_counted), _COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
     found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for lang, kind, at, n in sums.toLocalIterator():
         if lang not in found and len(found) == MOST_LANGUAGES:
@@ -265,7 +265,7 @@ def identify(docs: DataFrame, training: DataFrame, keep_spans: bool = True) -> D
     """doc_id, lang_pred, score and spans (word places and language) of every row of docs."""
     held = docs.sparkSession.sparkContext.broadcast(learn(training))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lambda batches: _labelled(held, keep_spans, batches), LABELLED)
+    return rows.mapInArrow(tidy(lambda batches: _labelled(held, keep_spans, batches)), LABELLED)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

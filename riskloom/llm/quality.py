@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import doc_texts, fold, new_folder, slices, table, written
+from riskloom.llm.common import doc_texts, fold, new_folder, slices, table, tidy, written
 
 FEATURES, RIDGE, BANDWIDTH, BINS, SEED = 384, 3.0, 3.5, 512, 11
 THRESHOLD, PRIOR = 0.3, 0.5
@@ -68,7 +68,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    return doc_texts(docs).mapInArrow(_described, "doc_id long, stats array<double>")
+    return doc_texts(docs).mapInArrow(tidy(_described), "doc_id long, stats array<double>")
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -113,7 +113,7 @@ def _sums(rows: DataFrame, of, width: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at // step, pa.int32()), pa.array([total[a : a + step].tolist() for a in at], pa.list_(pa.float64()))], names=["piece", "sums"])
 
     out = np.zeros(width)
-    parts = rows.select("stats", "y").mapInArrow(summed, "piece int, sums array<double>").select("piece", F.posexplode("sums").alias("i", "x"))
+    parts = rows.select("stats", "y").mapInArrow(tidy(summed), "piece int, sums array<double>").select("piece", F.posexplode("sums").alias("i", "x"))
     for piece, sums in parts.groupBy("piece", "i").agg(F.sum("x").alias("x")).groupBy("piece").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).select("piece", "s.x").toLocalIterator():
         out[piece * step : piece * step + len(sums)] = sums
     return out
@@ -178,7 +178,7 @@ def score(described: DataFrame, model: Model) -> DataFrame:
                 s = held.value.score(_matrix(part))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return described.mapInArrow(scored, "doc_id long, score double, predicted int")
+    return described.mapInArrow(tidy(scored), "doc_id long, score double, predicted int")
 
 
 def learnable(labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from riskloom.llm.bpe import vocabulary_path
-from riskloom.llm.common import doc_texts, record, table
+from riskloom.llm.common import doc_texts, record, table, tidy
 
 MARK, MOST, KEPT_LENGTH = "▁", 300_000, 64
 UNKNOWN = -25.0
@@ -96,7 +96,7 @@ def _counted(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
 
 def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or vocabulary_path("piece_bpe_32k.model")
-    return doc_texts(docs).mapInArrow(lambda batches: _counted(path, batches), "doc_id long, n_pretokens long, n_tokens long, score double")
+    return doc_texts(docs).mapInArrow(tidy(lambda batches: _counted(path, batches)), "doc_id long, n_pretokens long, n_tokens long, score double")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.bpe import encoder, vocabulary_path
-from riskloom.llm.common import doc_texts, new_folder, record, table, written
+from riskloom.llm.common import doc_texts, new_folder, record, table, tidy, written
 
 MOST_BITS, LANE, BLOCK_IDS = 20, 128, 1 << 19
 
@@ -184,9 +184,9 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2
     spark = docs.sparkSession
     folder, path = folder or new_folder(spark, "tokens"), vocabulary or vocabulary_path()
     ranged = doc_texts(docs).repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id").sortWithinPartitions("doc_id")
-    ids = written(ranged.mapInArrow(lambda batches: _encoded(path, end_id, batches), "doc_id long, place long, ids binary"), "ids", folder, compression="zstd")
+    ids = written(ranged.mapInArrow(tidy(lambda batches: _encoded(path, end_id, batches)), "doc_id long, place long, ids binary"), "ids", folder, compression="zstd")
     counts = np.zeros(1, np.int64)
-    for i, n in ids.select("ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n")).toLocalIterator():  # one row an id of the vocabulary
+    for i, n in ids.select("ids").mapInArrow(tidy(_counted), "id long, n long").groupBy("id").agg(F.sum("n")).toLocalIterator():  # one row an id of the vocabulary
         if i >= len(counts):
             counts = np.concatenate([counts, np.zeros(i + 1 - len(counts), np.int64)])
         counts[i] = n
@@ -194,7 +194,7 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, bits int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/codebook")
     codebook = spark.sparkContext.broadcast(lengths)
-    blocks = ids.mapInArrow(lambda batches: _blocks(codebook, batches), BLOCK)
+    blocks = ids.mapInArrow(tidy(lambda batches: _blocks(codebook, batches)), BLOCK)
     blocks.write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
     return folder
 
@@ -229,7 +229,7 @@ def read_tokens(spark: SparkSession, folder: str, keep_ids: bool = True) -> Data
     """Every document of the files: doc_id, start (ids before it), n_tokens, ids_crc32, ids."""
     codebook = spark.sparkContext.broadcast(read_codebook(spark, folder))
     blocks = spark.read.schema(BLOCK).parquet(f"{folder}/blocks")
-    decoded = blocks.mapInArrow(lambda batches: _read(codebook, keep_ids, batches), READ)
+    decoded = blocks.mapInArrow(tidy(lambda batches: _read(codebook, keep_ids, batches)), READ)
     sizes = blocks.select("part", "block", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = sorted((p, n) for p, n in parts.toLocalIterator())  # one number for each written part
