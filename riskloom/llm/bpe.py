@@ -123,6 +123,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def forget(path: str) -> None:
+    """Drops this process's encoder: where memory is worth more than the time to load it again."""
+    _encoders.pop(path, None)
+
+
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 

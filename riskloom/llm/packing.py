@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm.bpe import encoder, vocabulary_path
+from riskloom.llm.bpe import encoder, forget, vocabulary_path
 from riskloom.llm.common import doc_texts, record, table, tidy
 
 WINDOW, MOST_OPEN = 2048, 4096
@@ -142,7 +142,12 @@ def packed(batches: Iterator[pa.RecordBatch], encode: Callable[[], Callable[[str
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window: int = WINDOW, keep_ids: bool = True) -> DataFrame:
     """One row for each piece, with its ids as little-endian unsigned 32-bit numbers unless keep_ids is False."""
     path = vocabulary or vocabulary_path()
-    return doc_texts(docs).mapInArrow(tidy(lambda batches: packed(batches, lambda: encoder(path).ids, end_id, window, keep_ids)), PIECE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(batches, lambda: encoder(path).ids, end_id, window, keep_ids)
+        forget(path)  # idle workers would each hold one
+
+    return doc_texts(docs).mapInArrow(tidy(run), PIECE)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
