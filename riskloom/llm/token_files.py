@@ -2,7 +2,7 @@
 
 Format, a folder of Parquet tables in shared storage: `codebook` (id, bits: the code length of each id; codes are
 canonical, that is, given in order of length, then id) and `blocks`, one row for each block of whole documents in
-ascending doc_id order: doc_ids, n_tokens (ids of each document, with its end id), start_bits (bit offset of each
+ascending doc_id order, named by its part and the place of its first document there: doc_ids, n_tokens (ids of each document, with its end id), start_bits (bit offset of each
 document in the payload), lane_bits (bit offsets of every LANE-th id: checkpoints from which lanes decode side by
 side), n_ids, payload and its crc32. A block needs nothing from other blocks, so any can be read alone.
 
@@ -149,12 +149,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _blocks(codebook, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a task come in the order of `place`; a new part begins a new block."""
+    """A block is a run of places without a gap, named by its first one: a part may be read by several tasks, a task may
+    read pieces of several parts in any order."""
     lengths = codebook.value
     codes = canonical(lengths)
-    held, size, part, number = [], 0, None, 0
+    held, size, begin, after = [], 0, 0, None
 
     def block() -> pa.RecordBatch:
+        part, number = begin >> 40, begin & (1 << 40) - 1
         ids = np.concatenate([x for _, x in held])
         payload, starts = pack_bits(ids, codes, lengths)
         n = np.fromiter((len(x) for _, x in held), np.int64, len(held))
@@ -164,11 +166,12 @@ def _blocks(codebook, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for batch in batches:
         for doc_id, place, data in zip(*(batch.column(c).to_pylist() for c in _IDS.names), strict=True):
             ids = _ids(data)
-            if held and (size + len(ids) > BLOCK_IDS or place >> 40 != part):
+            if held and (size + len(ids) > BLOCK_IDS or place != after):
                 yield block()
-                held, size, number = [], 0, number + 1
-            if place >> 40 != part:
-                part, number = place >> 40, 0
+                held, size = [], 0
+            if not held:
+                begin = place
+            after = place + 1
             held.append((doc_id, ids))
             size += len(ids)
     if held:

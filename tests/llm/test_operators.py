@@ -109,6 +109,39 @@ def test_token_files_round_trip(spark, docs, empty):
     assert token_files.read_tokens(spark, token_files.write_tokens(empty)).count() == 0
 
 
+def test_token_files_of_parts_read_by_several_tasks(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"{x:x}" for x in rng.integers(0, 1 << 40, 30))) for i in range(2000)]
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    small = {"parquet.block.size": "30000", "parquet.page.size": "4000"}
+    for k, v in small.items():
+        hadoop.set(k, v)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "30000")
+    try:
+        folder = token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert spark.read.parquet(f"{folder}/ids").rdd.getNumPartitions() > 8
+        found = sorted(token_files.read_tokens(spark, folder).collect(), key=lambda r: r.start)
+        blocks = spark.read.parquet(f"{folder}/blocks").select("part", "block").collect()
+    finally:
+        for k in small:
+            hadoop.unset(k)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(blocks) == len(set(blocks)) > len({b.part for b in blocks})
+    assert [r.doc_id for r in found] == [i for i, _ in rows]
+    assert [r.start for r in found] == [0, *itertools.accumulate(r.n_tokens for r in found)][:-1]
+
+
+def test_blocks_of_pieces_in_any_order():
+    class Held:
+        value = np.array([1, 1])
+
+    ids = b"\x02" + np.array([0, 1], "<u2").tobytes()
+    places = [(1 << 40) + 2, (1 << 40) + 3, 1 << 40, (1 << 40) + 1, 4, 5]
+    batch = token_files.record(token_files._IDS, places, places, [ids] * len(places))
+    found = [(r["part"], r["block"], r["doc_ids"]) for b in token_files._blocks(Held, iter([batch])) for r in b.to_pylist()]
+    assert found == [(1, 2, places[:2]), (1, 0, places[2:4]), (0, 4, places[4:])]
+
+
 def test_huffman_lengths_are_limited_and_decodable():
     fib = [1, 1]
     while len(fib) < 40:
