@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, in stages that are each written as Parquet and read again.
 
-A stage decides by doc_id: rows that share a doc_id are kept or dropped together (the exact dedup also looks at the
-text, and leaves one of rows repeated with doc_id and text). A null doc_id is an id like others. An empty table stays
-empty through all stages. Columns beside doc_id and text are carried along unread.
+A stage decides by row, also where rows share a doc_id or have none: each numbers its rows when it writes its input and
+filters by those numbers (the exact dedup instead decides by doc_id and text, and leaves one of rows repeated with both).
+An empty table stays empty through all stages. Columns beside doc_id and text are carried along unread.
 """
 
 from __future__ import annotations
@@ -14,15 +14,29 @@ from riskloom.llm import decontaminate, exact_dedup, jaccard_join, packing, qual
 from riskloom.llm.common import ascii_lower, new_folder, table, written
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """docs whose doc_id is among kept's."""
-    ids = kept.select(F.col("doc_id").alias("kept_doc_id"))
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["kept_doc_id"]), "left_semi")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs written with a number for each row, and that column's name, which docs doesn't have."""
+    row = "row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    return written(numbered, "rows", new_folder(docs.sparkSession, "pipeline"), compression="zstd"), row
+
+
+def _only(numbered: DataFrame, row: str, kept: DataFrame) -> DataFrame:
+    """The rows whose number is in kept's only column, without the number."""
+    return numbered.join(kept.toDF(row), row, "left_semi").drop(row)
+
+
+def _by_row(numbered: DataFrame, row: str) -> DataFrame:
+    """Rows for an operator that carries doc_id only: their number stands for it."""
+    return numbered.select(F.col(row).alias("doc_id"), "text")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
-    return _only(docs, quality.classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1"))
+    rows, row = _numbered(docs)
+    return _only(rows, row, quality.classify(rows, table(spark, sf_dir, "labels"), row).filter("predicted = 1").select(row))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,13 +51,18 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) the smallest doc_id stays."""
-    return _only(docs, jaccard_join.jaccard_components(docs).filter("doc_id <=> component_id"))
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) one row with the smallest doc_id stays (nulls last)."""
+    rows, row = _numbered(docs)
+    found = jaccard_join.jaccard_components(_by_row(rows, row)).select(F.col("doc_id").alias("at"), "component_id")
+    ids = rows.select(F.col(row).alias("at"), F.col("doc_id").cast("long").alias("doc_id"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
+    return _only(rows, row, found.join(ids, "at").groupBy("component_id").agg(first.alias("first")).select("first.at"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return _only(docs, decontaminate.report(docs, table(spark, sf_dir, "benchmark")).filter("not contaminated"))
+    rows, row = _numbered(docs)
+    return _only(rows, row, decontaminate.report(_by_row(rows, row), table(spark, sf_dir, "benchmark")).filter("not contaminated").select("doc_id"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

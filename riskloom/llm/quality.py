@@ -60,15 +60,22 @@ def statistics(text: bytes) -> list[float]:
 N_STATISTICS = len(statistics(b"A text."))
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _described(keys: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in slices(batches):
         stats = np.array([statistics(x) for x in texts], np.float64)
         flat = pa.ListArray.from_arrays(np.arange(0, stats.size + 1, N_STATISTICS, dtype=np.int32), pa.array(stats.reshape(-1)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), flat], names=["doc_id", "stats"])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), flat], names=[*keys, "stats"])
 
 
-def describe(docs: DataFrame) -> DataFrame:
-    return doc_texts(docs).mapInArrow(tidy(_described), "doc_id long, stats array<double>")
+def _longs(keys: tuple[str, ...]) -> str:
+    return "".join(f"`{k}` long, " for k in keys)
+
+
+def describe(docs: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the carried columns (longs) and stats of every row of docs."""
+    keys = ("doc_id", *carried)
+    texts = doc_texts(docs) if not carried else docs.select(*[F.col(k).cast("long").alias(k) for k in keys], F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(tidy(lambda batches: _described(keys, batches)), _longs(keys) + "stats array<double>")
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:
@@ -167,8 +174,9 @@ def fit(described: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
-def score(described: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score, predicted of each row."""
+def score(described: DataFrame, model: Model, *carried: str) -> DataFrame:
+    """doc_id, the carried columns, score, predicted of each row."""
+    keys = ("doc_id", *carried)
     held = described.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +184,9 @@ def score(described: DataFrame, model: Model) -> DataFrame:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 s = held.value.score(_matrix(part))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=[*keys, "score", "predicted"])
 
-    return described.mapInArrow(tidy(scored), "doc_id long, score double, predicted int")
+    return described.mapInArrow(tidy(scored), _longs(keys) + "score double, predicted int")
 
 
 def learnable(labels: DataFrame) -> DataFrame:
@@ -187,10 +195,10 @@ def learnable(labels: DataFrame) -> DataFrame:
     return rows.filter(fold(5) != 0).groupBy("doc_id").agg(F.avg("y").alias("y"))
 
 
-def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, score, predicted of every row of docs."""
-    described = written(describe(docs), "statistics", new_folder(docs.sparkSession, "quality"))
-    return score(described, fit(described, learnable(labels)))
+def classify(docs: DataFrame, labels: DataFrame, *carried: str) -> DataFrame:
+    """doc_id, the carried columns (longs), score, predicted of every row of docs."""
+    described = written(describe(docs, *carried), "statistics", new_folder(docs.sparkSession, "quality"))
+    return score(described, fit(described, learnable(labels)), *carried)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from conftest import SF
+from pyspark.sql import functions as F
 from riskloom.llm import decontaminate, exact_dedup, jaccard_join, quality
 from riskloom.llm.common import table
 
@@ -27,6 +28,27 @@ def test_repeated_and_null_rows(spark):
     assert corpus_pipeline.near_duplicate_stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_rows_that_share_an_id_are_decided_one_by_one(spark):
+    schema = "doc_id long, text string, row string"
+    text = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    item = next(r.text for r in table(spark, SF, "benchmark").collect() if r.text and len(r.text.split()) > 12)
+    mixed = [(d, t, "r") for d in (None, 7) for t in (f"clean words of {d}", item, None)]
+    clean = corpus_pipeline.decontamination_stage(spark, spark.createDataFrame(mixed, schema), SF)
+    assert clean.columns == ["doc_id", "text", "row"]
+    assert text(clean) == sorted((str(d), str(t)) for d, t, _ in mixed if t != item)
+    words = [f"w{i}" for i in range(60)]
+    near = [(d, " ".join([*words, *(["end"] * k)]), "r") for d in (None, 7) for k in (0, 1)] + [(None, " ".join([f"v{i}" for i in range(50 + k)]), "r") for k in (0, 1, 2)]
+    left = text(corpus_pipeline.near_duplicate_stage(spark, spark.createDataFrame(near, schema), SF))
+    assert [d for d, _ in left] == ["7", "None"] and left[0][1].startswith("w0") and left[1][1].startswith("v0")
+    docs = table(spark, SF, "documents")
+    judged = {r.doc_id: r.predicted for r in quality.classify(docs, table(spark, SF, "labels")).collect()}
+    known = table(spark, SF, "labels").select("doc_id")
+    hot = docs.join(known, "doc_id", "left_anti").withColumn("was", docs.doc_id).withColumn("doc_id", F.lit(None).cast("long"))
+    both = docs.join(known, "doc_id", "left_semi").withColumn("was", docs.doc_id).unionByName(hot)
+    kept = {r.was for r in corpus_pipeline.quality_stage(spark, both, SF).collect()}
+    assert set(judged.values()) == {0, 1} and kept == {d for d, p in judged.items() if p == 1}
+
+
 def test_run(spark):
     pieces = corpus_pipeline.run(spark, SF).collect()
     assert pieces and all(r.length == len(r.ids) // 4 for r in pieces)
