@@ -1,6 +1,7 @@
 """Sharding by fixed virtual slots, in DataFrame operations only.
 
-A record's slot is xxhash64(doc_id, text crc32) mod SLOTS, whatever the number of shards. The bytes of each slot are
+A record's slot is xxhash64(doc_id, text crc32) mod SLOTS, whatever the number of shards. Rows that repeat doc_id and
+crc32 are numbered, and every COPIES of them hash with another salt (the first with none), so that no key fills a slot. The bytes of each slot are
 aggregated (SLOTS rows at most, a constant bound), and a map from slot to shard is stored with a version in the shared
 folder. The law is `bytes`: the map gives the largest slots first, each to the shard with the least bytes, and then
 moves or swaps slots while that brings the fullest and the emptiest shard nearer. Rebalancing edits the stored map: it
@@ -21,13 +22,23 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import doc_texts, new_folder, table, written
 
-SLOTS, SHARDS = 4096, 24
+SLOTS, SHARDS, COPIES = 4096, 24, 16
+GROUP_ROWS = 8192
 
 
-def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
+def records(docs: DataFrame, slots: int, folder: str) -> DataFrame:
+    """Copies of a key are numbered in groups of at most GROUP_ROWS rows, so that no task holds all of a frequent key."""
+    text, key = F.coalesce("text", F.lit("")), ["doc_id", "text_crc32"]
     sized = doc_texts(docs).select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return sized.withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(slots)).cast("int"))
+    sized = written(sized.withColumn("part", F.floor(F.monotonically_increasing_id() / GROUP_ROWS)), "sized", folder)
+    before = Window.partitionBy(*key).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    groups = sized.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("n"))
+    groups = groups.select(F.col("doc_id").alias("d"), F.col("text_crc32").alias("c"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = sized.withColumn("k", F.row_number().over(Window.partitionBy(*key, "part").orderBy("size")) - 1)
+    met = numbered.join(groups, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_crc32") == F.col("c")) & (F.col("part") == F.col("p")))
+    salt = F.floor((F.col("before") + F.col("k")) / COPIES)
+    slot = F.when(salt == 0, F.xxhash64(*key)).otherwise(F.xxhash64(*key, salt))
+    return met.select("doc_id", "size", "text_crc32", F.pmod(slot, F.lit(slots)).cast("int").alias("virtual_slot"))
 
 
 def slot_totals(placed: DataFrame, slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,7 +95,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str
     """doc_id, size, text_crc32, virtual_slot, shard and slot of each record; version 1 of the map is stored, edited to version 2."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "shards")
-    placed = written(records(docs, slots), "records", folder)
+    placed = written(records(docs, slots, folder), "records", folder)
     size, rows = slot_totals(placed, slots)
     shard_of = assign(size, shards)
     store_map(spark, folder, shard_of, 1)

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 from riskloom.llm import decontaminate, exact_dedup, jaccard_join, language, language_model, packing, quality, sharding, token_counts, token_files
 from riskloom.llm.bpe import encoder, vocabulary_path
 from riskloom.llm.common import fold, table
@@ -316,6 +317,20 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard(empty, 3, 64).count() == 0
 
 
+def test_sharding_spreads_repeated_rows(spark):
+    hot = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same text").alias("text"))
+    other = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows = sharding.shard(hot.unionByName(other).repartition(3), 24).collect()
+    totals = Counter()
+    for r in rows:
+        totals[r.shard] += r.size
+    assert len(rows) == 9000 and len(totals) == 24 and max(totals.values()) < 1.02 * min(totals.values())
+    copies = Counter(r.virtual_slot for r in rows if r.doc_id is None)
+    assert sum(copies.values()) == 3000 and max(copies.values()) <= 5 * sharding.COPIES
+    for s in totals:
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+
+
 def test_map_versions(spark, tmp_path):
     size = np.random.default_rng(4).integers(1, 100, 256)
     first = sharding.assign(size, 4)
