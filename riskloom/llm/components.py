@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import tidy, written
 
-MOST_EDGES = 500_000
+MOST_EDGES, MOST_ROUNDS = 500_000, 99
 
 
 class Forest:
@@ -54,10 +54,10 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """edges: u, v (longs). Returns node, label: of each node with an edge, the smallest node reachable."""
+    """edges: u, v (longs). Returns node, label: of each node with an edge, the smallest node reachable. Raises if MOST_ROUNDS don't suffice."""
     now = written(edges.select("u", "v").filter("u <> v").mapInArrow(tidy(_contracted), "u long, v long").distinct(), "edges-0", folder)
     sums = None
-    for k in range(1, 100):
+    for k in range(1, MOST_ROUNDS + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -69,5 +69,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         if new == sums:
             break
         sums = new
+    else:
+        raise RuntimeError(f"components have not converged in {MOST_ROUNDS} rounds")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))

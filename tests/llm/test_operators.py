@@ -209,6 +209,13 @@ def test_components(spark):
     assert found == {i: 0 for i in range(51)} | {100: 100, 200: 100, 300: 100}
 
 
+def test_components_never_stop_short(spark, monkeypatch):
+    monkeypatch.setattr("riskloom.llm.components.MOST_ROUNDS", 1, raising=False)
+    edges = spark.createDataFrame([(i + 1, i) for i in range(50)], "u long, v long").repartition(4)
+    with pytest.raises(RuntimeError, match="not converged"):
+        components(edges, jaccard_join.new_folder(spark, "t"))
+
+
 def test_decontaminate(spark, docs, empty):
     word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", norm(t).decode())
     items = [(1, "tok5 tok6 tok7 tok8 tok9 tok10 tok11 tok12 tok13 tok14 tok15"), (2, "Text, here!"), (3, None), (4, "..."), (11, "text here"), (None, "a b")]
