@@ -4,21 +4,26 @@ A document's set: the distinct 5-word shingles of the words [^\\x20\\x09-\\x0D]+
 fewer words the whole sequence is one; without words the set is empty and linked with nothing. Shingles are 64-bit
 hashes. Two documents link when 100 * |intersection| >= 80 * |union|. No link between different sets is lost:
 
-1. One scan writes each document's set size, a digest of its set, and a parity bitmap; documents with the same digest
-   have the same answers, so from here on a set stands for all of them. Shingles that repeat within tasks are counted;
-   the most frequent go last in the global order of shingles (this order moves work, never results).
+1. One scan writes each document's set size, a digest of its set, and a parity bitmap of at most MOST_BITS bits;
+   documents with the same digest have the same answers, so from here on a set stands for all of them. Shingles that
+   repeat within tasks are counted; the most frequent go last in the global order of shingles (this order moves work,
+   never results).
 2. A second scan sends each set's prefix postings to their shingle's owner. Lists with at least two sets of matching
-   size are kept.
-3. Index lists are read in blocks by set size: blocks outside the size window are skipped, then pairs by position
-   (a pair too late in both sets can only be found in another list) and by bitmap (the parities' distance is at most
-   the sets' symmetric difference). Each set first asks only one similar set for its answer, that with the smallest
-   number among those which pass; the pairs are verified on the whole texts.
-4. Linked sets share a label, so their relation needs no more reading: a second reading of the lists asks only pairs
-   with different labels that weren't verified yet. All of them are verified, so every link is found or implied.
-
-Verification sends the texts of a pair's members to their pivot, in salted portions of PORTION members.
-Null text: empty. Repeated rows: same set, same component. Null doc_id: the row's component is that of its set without
-it. Empty table: empty result. Other columns are not read. A digest names a set by 64 bits.
+   size are kept; lists of more than HOT_LIST sets are dealt by overlapping size classes.
+3. A list is read in order of size: blocks outside a set's size window, and blocks whose sets have too few shingles left
+   at their position, are skipped as a whole; then pairs by position (a pair too late in both sets is found in another
+   list) and by bitmap (the parities' distance is at most the sets' symmetric difference). The pairs that pass make
+   groups (their connected parts in the list); a set is sent on once for each group, to the group's set with the
+   smallest number, the pivot. So a list of m sets sends m - 1 rows at most, however many pairs pass.
+4. A group's texts meet at the pivot, whose overlaps with all members (its answers) are read from the group's index
+   lists; each member's answers are derived from the pivot's by reading only the lists of the shingles in which the two
+   differ. Links leave as a spanning forest, never as pairs.
+5. Groups too large for one task meet in salted portions. Afterwards the members that aren't yet connected with their
+   pivot are, in blocks, asked against the whole group; two members that are both connected with it need no question.
+
+Null text: empty. Very long texts are read whole. Repeated rows: same set, same component. Null doc_id: the row's
+component is that of its set without it. Ties have no influence: components don't depend on the pivots chosen. Empty
+table: empty result. Other columns, whatever their names, are not read. A digest names a set by 64 bits.
 """
 
 from __future__ import annotations
@@ -27,15 +32,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import doc_texts, mixed, new_folder, record, slices, table, tidy, written
-from riskloom.llm.components import components
+from riskloom.llm.components import Forest, components
 from riskloom.llm.words import Words
 
-SHINGLE, FREQUENT, PORTION, BLOCK, SEEN = 5, 100_000, 500, 1024, 300_000
-BROADCAST_ROWS = 500_000
+SHINGLE, FREQUENT, BLOCK, SEEN, MOST_BITS = 5, 100_000, 1024, 300_000, 4096
+PORTION, PORTION_SHINGLES = 500, 1 << 20
+SHORT_LIST, HOT_LIST, CHUNK = 24, 20_000, 1 << 16
+BROADCAST_ROWS = 300_000
 HEAVY, HEAVY_MOST = 500, 50_000
 
 
@@ -52,8 +59,8 @@ def digest(tokens: np.ndarray) -> int:
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    """Parity of the hashes in each of 2**k buckets, at least as many as the set's size and 64."""
-    bits = max(64, 1 << max(0, len(tokens) - 1).bit_length())
+    """Parity of the hashes in each of 2**k buckets: at least as many as the set's size and 64, at most MOST_BITS."""
+    bits = min(MOST_BITS, max(64, 1 << max(0, len(tokens) - 1).bit_length()))
     parity = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1
     return np.packbits(parity, bitorder="little").tobytes()
 
@@ -118,25 +125,6 @@ def _postings(frequent, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             )
 
 
-def _lists(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple]:
-    """Of rows sorted by token: each token's columns as arrays or lists."""
-    held: list[list] = [[] for _ in columns]
-    token = None
-    for batch in batches:
-        tokens = batch.column("token").to_numpy()
-        data = [batch.column(c).to_pylist() if c == "bitmap" else batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        edges = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1], True]).tolist()
-        for a, b in zip(edges, edges[1:]):
-            if tokens[a] != token:
-                if token is not None:
-                    yield tuple(held)
-                token, held = tokens[a], [[] for _ in columns]
-            for h, d in zip(held, data, strict=True):
-                h.extend(d[a:b])
-    if token is not None:
-        yield tuple(held)
-
-
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Postings of rows sorted by (token, size, digest) that have another set of matching size next to them in their list."""
     before, rest = None, []
@@ -164,113 +152,307 @@ def _near(rows: list[np.ndarray], before, last: bool = False) -> Iterator[pa.Rec
         yield record(_POSTING, *(c[keep] for c in rows))
 
 
-_PAIR = pa.schema([("member", pa.int64()), ("pivot", pa.int64())])
-
+class Rows:
+    """Postings in arrays with their bitmaps as matrices, one for each width."""
+
+    def __init__(self, digests: np.ndarray, sizes: np.ndarray, positions: np.ndarray, maps: pa.Array):
+        self.d, self.s = digests, sizes.astype(np.int64)
+        self.room = self.s - positions  # shingles from the posting's on
+        self.number = mixed(digests.view(np.uint64))
+        _, offsets, data = maps.buffers()
+        at = np.frombuffer(offsets, np.int32)[maps.offset : maps.offset + len(maps) + 1].astype(np.int64)
+        data = np.frombuffer(data, np.uint8)
+        self.width = np.diff(at) // 8
+        self.place = np.zeros(len(maps), np.int64)
+        self.maps: dict[int, np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.maps[w] = data[at[own][:, None] + np.arange(8 * w)].view(np.uint64)
+
+    def passing(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs of rows can be linked at this place of their sets; rows i are at most as large as rows j."""
+        si, sj = self.s[i], self.s[j]
+        need = needed(si, sj)
+        ok = np.flatnonzero((5 * si >= 4 * sj) & (np.minimum(self.room[i], self.room[j]) >= need))
+        if not len(ok):
+            return ok
+        i, j, most = i[ok], j[ok], (si + sj - 2 * need)[ok]
+        good = np.zeros(len(ok), bool)
+        wi, wj = self.width[i], self.width[j]
+        for a, b in np.unique(np.stack([wi, wj], 1), axis=0).tolist():
+            pairs = np.flatnonzero((wi == a) & (wj == b))
+            step = max(1, (1 << 20) // b)
+            for at in range(0, len(pairs), step):
+                m = pairs[at : at + step]
+                right = self.maps[b][self.place[j[m]]]
+                if a < b:  # a bitmap is folded to fewer buckets by exclusive or
+                    right = np.bitwise_xor.reduce(right.reshape(len(m), b // a, a), axis=1)
+                good[m] = np.bitwise_count(self.maps[a][self.place[i[m]]] ^ right).sum(1) <= most[m]
+        return ok[good]
+
+
+def _parts(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Of n nodes with edges (i, j), the smallest node of each one's connected part."""
+    part = np.arange(n)
+    while True:
+        least = np.minimum(part[i], part[j])
+        new = part.copy()
+        np.minimum.at(new, part[i], least)
+        np.minimum.at(new, part[j], least)
+        new = new[new]
+        if (new == part).all():
+            return part
+        part = new
+
+
+def _short_lists(rows: Rows, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that pass, of all lists of at most SHORT_LIST rows side by side."""
+    left, right = [], []
+    for k in range(1, SHORT_LIST):
+        i = np.flatnonzero(token[k:] == token[:-k])
+        if not len(i):
+            break
+        ok = rows.passing(i, i + k)
+        left.append(i[ok])
+        right.append(i[ok] + k)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def _long_list(rows: Rows, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs that pass in the list of rows begin to end: a row is only asked against rows that
+    no part has reached yet, block by block in order of size."""
+    left, right = [], []
+    open_ = np.arange(begin, end)
+    while len(open_):
+        seed = int(open_[rows.number[open_].argmin()])
+        open_, reached = open_[open_ != seed], [seed]
+        while reached and len(open_):
+            x = reached.pop()
+            size, room, found = int(rows.s[x]), int(rows.room[x]), []
+            sizes = rows.s[open_]
+            low, high = np.searchsorted(5 * sizes, 4 * size, "left"), np.searchsorted(4 * sizes, 5 * size, "right")
+            for at in range(int(low), int(high), BLOCK):
+                y = open_[at : min(at + BLOCK, int(high))]
+                if min(room, int(rows.room[y].max())) < needed(int(rows.s[y[0]]), size):  # too late in the sets of the whole block
+                    continue
+                own = np.full(len(y), x)
+                small = rows.s[y] <= size
+                found.append(y[small][rows.passing(y[small], own[small])])
+                found.append(y[~small][rows.passing(own[~small], y[~small])])
+            new = np.concatenate(found) if found else np.zeros(0, np.int64)
+            if len(new):
+                left.append(np.full(len(new), x))
+                right.append(new)
+                open_ = open_[~np.isin(open_, new)]
+                reached.extend(new.tolist())
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+_GROUP = pa.schema([("member", pa.int64()), ("pivot", pa.int64()), ("size", pa.int32())])
+
+
+def _grouped(rows: Rows, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members, pivots and members' sizes of whole lists."""
+    edge = np.flatnonzero(np.r_[True, token[1:] != token[:-1], True])
+    length = np.diff(edge)
+    long = np.flatnonzero(length > SHORT_LIST)
+    found = []
+    if len(long) < len(length):
+        short = np.repeat(length <= SHORT_LIST, length)
+        own = np.where(short, np.cumsum(np.r_[True, token[1:] != token[:-1]]), -np.arange(1, len(token) + 1))  # rows of long lists stay alone
+        found.append(_short_lists(rows, own))
+    found += [_long_list(rows, int(edge[k]), int(edge[k + 1])) for k in long.tolist()]
+    i, j = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    part = _parts(len(token), i, j)
+    order = np.lexsort((rows.number, part))
+    first = np.r_[True, part[order][1:] != part[order][:-1]]
+    pivot = np.empty(len(token), np.int64)
+    pivot[order] = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    member = np.flatnonzero(pivot != np.arange(len(token)))
+    return rows.d[member], rows.d[pivot[member]], rows.s[member]
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by token, part, size, digest: each list's groups, whole lists at a time."""
+    names, held, n = ["token", "part", "digest", "size", "pos", "bitmap"], [], 0
+
+    def taken(data: pa.Table) -> pa.RecordBatch | None:
+        token = mixed(data["token"].to_numpy().view(np.uint64)) + data["part"].to_numpy().astype(np.uint64)
+        maps = data["bitmap"].combine_chunks()
+        rows = Rows(*(data[c].to_numpy() for c in ("digest", "size", "pos")), maps.chunk(0) if isinstance(maps, pa.ChunkedArray) else maps)
+        member, pivot, size = _grouped(rows, token)
+        if not len(member):
+            return None
+        _, one = np.unique(np.stack([member, pivot], 1), axis=0, return_index=True)
+        return record(_GROUP, member[one], pivot[one], size[one].astype(np.int32))
 
-def _folded(row: np.ndarray, n: int) -> np.ndarray:
-    """A parity bitmap of n words: halves are added by exclusive or."""
-    while len(row) > n:
-        row = row[: len(row) // 2] ^ row[len(row) // 2 :]
-    return row
+    for batch in batches:
+        held.append(batch.select(names))
+        n += batch.num_rows
+        if n < CHUNK:
+            continue
+        data = pa.Table.from_batches(held)
+        token, part = data["token"].to_numpy(), data["part"].to_numpy()
+        cut = np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1]))
+        if not len(cut):
+            continue
+        at = int(cut[-1]) + 1
+        if (out := taken(data.slice(0, at))) is not None:
+            yield out
+        held = data.slice(at).combine_chunks().to_batches()
+        n = data.num_rows - at
+    if n and (out := taken(pa.Table.from_batches(held))) is not None:
+        yield out
+
+
+class Answers:
+    """Index lists of a group's sets; the overlaps of any set with all of them, derived from the pivot's."""
+
+    def __init__(self, pivot: np.ndarray, sets: list[np.ndarray]):
+        self.pivot, self.n = pivot, len(sets)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        all_ = np.concatenate(sets)
+        order = np.argsort(all_, kind="stable")
+        self.tokens, self.begin, self.count = np.unique(all_[order], return_index=True, return_counts=True)
+        self.member = np.repeat(np.arange(self.n), self.sizes)[order]
+        self.of_pivot = self._read(pivot)
+
+    def _read(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of the tokens each set of the index has."""
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        at = at[self.tokens[at] == tokens]
+        n = self.count[at]
+        place = np.repeat(self.begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        return np.bincount(self.member[place], minlength=self.n)
+
+    def linked(self, tokens: np.ndarray) -> np.ndarray:
+        """The sets of the index that a set is linked with (itself, if it is one of them)."""
+        own = np.isin(tokens, self.pivot, assume_unique=True)
+        kept = int(own.sum())
+        if len(tokens) - kept + len(self.pivot) - kept < len(tokens):
+            gone = self.pivot[~np.isin(self.pivot, tokens, assume_unique=True)]
+            overlap = self.of_pivot + self._read(tokens[~own]) - self._read(gone)
+        else:  # too unlike the pivot: its own lists are fewer
+            overlap = self._read(tokens)
+        return np.flatnonzero(overlap >= needed(self.sizes, len(tokens)))
+
+
+_EDGE = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+PIVOT, INDEXED, ASKING = 0, 1, 2
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by pivot, salt and role: the pivot's text, those to be indexed, those that only ask. A spanning forest
+    of the links among the first two, and of those that ask with them."""
+    group, pivot, ids, sets, forest, answers = None, None, [], [], Forest(), None
+    out: list[tuple[int, int]] = []
 
+    def index() -> None:
+        """The sets held become the index and ask each other."""
+        nonlocal answers
+        if len(sets) == 2:
+            a, b = sets
+            if len(np.intersect1d(a, b, assume_unique=True)) >= needed(len(a), len(b)):
+                forest.join(ids[0], ids[1])
+            return
+        answers = Answers(pivot, sets)
+        for x, s in zip(ids, sets, strict=True):
+            ask(x, s)
+
+    def ask(x: int, tokens: np.ndarray) -> None:
+        for k in answers.linked(tokens).tolist():
+            if ids[k] != x:
+                forest.join(x, ids[k])
+
+    def end() -> None:
+        if answers is None and len(sets) > 1:
+            index()
+        out.extend((x, r) for x in forest.up if (r := forest.root(x)) != x)
 
-def _pairs(second: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by token, size, digest. First reading: of each set the pair with its pivot; second: all pairs of
-    different labels. Repeats within a task are left out while they are remembered."""
-    columns = ["digest", "size", "pos", "bitmap", "label"]
-    given: set[tuple[int, int]] = set()
-    out: list[tuple[int, int]] = []
-    for d, s, p, maps, label in _lists(batches, columns):
-        n = len(d)
-        if n < 2:
-            continue
-        d, s, p, label = (np.array(x, np.int64) for x in (d, s, p, label))
-        number = mixed(d.view(np.uint64))
-        widths = np.array([len(m) // 8 for m in maps])
-        best, best_number = np.full(n, -1), number.copy()
-        lows = np.searchsorted(5 * s, 4 * s, "left")  # 0.8 * size <= other size: earlier blocks of the list are skipped
-        by_width = {w: np.stack([np.frombuffer(maps[i], np.uint64) for i in np.flatnonzero(widths == w)]) for w in np.unique(widths).tolist()}
-        place = np.zeros(n, np.int64)
-        for w in by_width:
-            own = np.flatnonzero(widths == w)
-            place[own] = np.arange(len(own))
-        for i in range(1, n):
-            row = by_width[int(widths[i])][place[i]]
-            for at in range(int(lows[i]), i, BLOCK):
-                js = np.arange(at, min(i, at + BLOCK))
-                if second:
-                    js = js[label[js] != label[i]]
-                need = needed(s[js], s[i])
-                js, need = (x[1 + np.minimum(s[js] - p[js], s[i] - p[i]) - 1 >= need] for x in (js, need))
-                if not len(js):
-                    continue
-                most = s[js] + s[i] - 2 * need
-                ok = np.zeros(len(js), bool)
-                for w in np.unique(widths[js]).tolist():
-                    m = widths[js] == w
-                    own = by_width[w][place[js[m]]]
-                    ok[m] = np.bitwise_count(own ^ _folded(row, w)).sum(1) <= most[m]
-                js = js[ok]
-                if not len(js):
-                    continue
-                if second:
-                    for j in js.tolist():
-                        pair = (int(d[i]), int(d[j])) if number[i] > number[j] else (int(d[j]), int(d[i]))
-                        if pair not in given:
-                            given.add(pair)
-                            out.append(pair)
-                    continue
-                j = js[number[js].argmin()]
-                if number[j] < best_number[i]:
-                    best[i], best_number[i] = j, number[j]
-                lower = js[number[i] < best_number[js]]
-                best[lower], best_number[lower] = i, number[i]
-        for i in np.flatnonzero(best >= 0).tolist():
-            pair = (int(d[i]), int(d[best[i]]))
-            if pair not in given:
-                given.add(pair)
-                out.append(pair)
-        if len(given) > SEEN:
-            given.clear()
+    for batch, texts in slices(batches):
+        rows = zip(*(batch.column(c).to_pylist() for c in ("pivot", "salt", "role", "member")), Words(texts).shingles(SHINGLE), strict=True)
+        for p, salt, role, member, tokens in rows:
+            if group != (p, salt):
+                end()
+                if role != PIVOT:
+                    raise ValueError("a pivot's text is missing")
+                group, pivot, ids, sets, forest, answers = (p, salt), tokens, [p], [tokens], Forest(), None
+            elif role == INDEXED:
+                ids.append(member)
+                sets.append(tokens)
+            else:
+                if answers is None:
+                    if len(sets) == 2:  # two sets settle without an index, but others ask
+                        answers = Answers(pivot, sets)
+                        for x, s in zip(ids, sets, strict=True):
+                            ask(x, s)
+                    else:
+                        index()
+                ask(member, tokens)
         if len(out) > 5000:
-            yield record(_PAIR, *zip(*out, strict=True))
-            out = []
+            yield record(_EDGE, *zip(*out, strict=True))
+            out.clear()
+    end()
     if out:
-        yield record(_PAIR, *zip(*out, strict=True))
+        yield record(_EDGE, *zip(*out, strict=True))
 
 
-_LINK = pa.schema([("member", pa.int64()), ("pivot", pa.int64()), ("linked", pa.bool_())])
+def _met(asked: DataFrame, pivots: DataFrame, texts: DataFrame) -> DataFrame:
+    """asked: pivot, salt, role, member; pivots: pivot, salt. Edges u, v among the sets of each (pivot, salt)."""
+    texts = texts.withColumnRenamed("digest", "member")
+    own = pivots.select("pivot", "salt", F.lit(PIVOT).alias("role"), F.col("pivot").alias("member"))
+    rows = asked.select("pivot", "salt", "role", "member").unionByName(own).join(texts, "member")
+    met = rows.repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "role", "member")
+    return met.mapInArrow(tidy(_resolved), "u long, v long")
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each pivot and salt comes first its own text (member null), then its members' texts."""
-    pivot, tokens = None, np.zeros(0, np.uint64)
-    for batch, texts in slices(batches):
-        members, pivots, out = batch.column("member").to_pylist(), batch.column("pivot").to_pylist(), []
-        for member, p, s in zip(members, pivots, Words(texts).shingles(SHINGLE), strict=True):
-            if member is None:
-                pivot, tokens = p, s
-                continue
-            if p != pivot:
-                raise ValueError("a pivot's text is missing")
-            both = len(np.intersect1d(tokens, s, assume_unique=True))
-            out.append((member, p, bool(both >= needed(len(tokens), len(s)))))
-        if out:
-            yield record(_LINK, *zip(*out, strict=True))
-
-
-def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, name: str, folder: str) -> DataFrame:
-    """pairs (member, pivot) with linked. Texts are those of each set's smallest doc_id."""
-    wanted = pairs.select(F.col("member").alias("digest")).unionByName(pairs.select(F.col("pivot").alias("digest"))).distinct()
-    reps = written(sets.join(wanted, "digest", "left_semi").groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("digest", F.col("r.row").alias("row")), f"{name}-reps", folder)
+def _texts(wanted: DataFrame, sets: DataFrame, docs: DataFrame, folder: str) -> DataFrame:
+    """digest, text of the wanted sets: each set's text is that of its smallest doc_id."""
+    reps = written(sets.join(wanted, "digest", "left_semi").select("digest", "row"), "reps", folder)
     reps = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
-    texts = written(docs.join(reps, "row").select("digest", "text"), f"{name}-texts", folder, compression="zstd")
-    salts = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("c")).select("pivot", F.ceil(F.col("c") / PORTION).cast("int").alias("salts"))
-    salted = pairs.join(salts, "pivot").withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int"))
-    asked = salted.join(texts.withColumnRenamed("digest", "member"), "member").select("pivot", "salt", "member", "text")
-    own = salts.join(texts.withColumnRenamed("digest", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("member"), "text")
-    met = asked.unionByName(own).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", F.col("member").asc_nulls_first())
-    return written(met.mapInArrow(tidy(_verified), "member long, pivot long, linked boolean"), f"{name}-links", folder)
+    return written(docs.join(reps, "row").select("digest", "text"), "texts", folder, compression="zstd")
+
+
+def _portions() -> Column:
+    """Of c members with s shingles."""
+    return F.greatest(F.ceil(F.col("c") / PORTION), F.ceil(F.col("s") / PORTION_SHINGLES)).cast("int")
+
+
+def _links(groups: DataFrame, sets: DataFrame, docs: DataFrame, folder: str) -> DataFrame | None:
+    """groups: member, pivot, size. label of each linked set (node), or None where there is no group."""
+    sums = groups.groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    salts = written(sums.select("pivot", _portions().alias("salts")), "salts", folder)
+    if salts.isEmpty():
+        return None
+    wanted = groups.select(F.col("member").alias("digest")).unionByName(salts.select(F.col("pivot").alias("digest"))).distinct()
+    texts = _texts(wanted, sets, docs, folder)
+    large = F.broadcast(salts.filter("salts > 1"))  # fewer than sets / PORTION, or shingles / PORTION_SHINGLES
+    salted = groups.join(large, "pivot", "left").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    asked = salted.withColumn("salt", F.pmod(F.xxhash64("member"), F.col("salts")).cast("int")).withColumn("role", F.lit(INDEXED))
+    each = salts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    edges = written(_met(asked, each, texts), "edges-1", folder)
+    labels = written(components(edges, f"{folder}/first"), "labels-1", folder)
+    if salts.filter("salts > 1").isEmpty():
+        return labels
+    # in the large groups, members not connected with their pivot are asked against all members
+    hot = groups.join(large, "pivot").select("pivot", "member", "size")
+    of_member, of_pivot = labels.select(F.col("node").alias("member"), "label"), labels.select(F.col("node").alias("pivot"), F.col("label").alias("pivot_label"))
+    marked = hot.join(of_member, "member", "left").join(F.broadcast(large.select("pivot").join(of_pivot, "pivot", "left")), "pivot")
+    marked = written(marked.withColumn("minor", ~F.coalesce("label", "member").eqNullSafe(F.coalesce("pivot_label", "pivot"))).select("pivot", "member", "size", "minor"), "marked", folder)
+    minors = marked.filter("minor").groupBy("pivot").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("s"))
+    blocks = written(minors.select("pivot", _portions().alias("salts")), "blocks", folder)
+    if blocks.isEmpty():
+        return labels
+    own = marked.join(F.broadcast(blocks), "pivot")
+    block = F.pmod(F.xxhash64("member"), F.col("salts")).cast("int")
+    indexed = own.filter("minor").select("pivot", block.alias("salt"), F.lit(INDEXED).alias("role"), "member")
+    asking = own.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "member", (F.col("minor") & (block == F.col("salt"))).alias("there"), F.lit(ASKING).alias("role")).filter("not there")
+    each = blocks.select("pivot", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    more = written(_met(indexed.unionByName(asking.drop("there")), each, texts), "edges-2", folder)
+    return written(components(labels.filter("node <> label").select(F.col("node").alias("u"), F.col("label").alias("v")).unionByName(more), f"{folder}/second"), "labels-2", folder)
 
 
 def _rows(docs: DataFrame, folder: str) -> tuple[DataFrame, bool]:
@@ -282,14 +464,38 @@ def _rows(docs: DataFrame, folder: str) -> tuple[DataFrame, bool]:
     return written(rows.withColumn("row", F.monotonically_increasing_id()), "rows", folder, compression="zstd"), False
 
 
+def _dealt(shared: DataFrame, maps: DataFrame, folder: str) -> DataFrame:
+    """Postings with bitmaps, each list in one task; a list of more than HOT_LIST sets goes by size classes, of which each
+    also gets the sets of the class below, as linked sets differ by one class at most."""
+    n = shared.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_LIST).select("token", F.lit(True).alias("hot"))
+    hot = F.broadcast(written(n, "hot", folder))  # fewer than postings / HOT_LIST
+    size_class = F.floor(F.log(F.col("size")) / F.log(F.lit(1.26))).cast("int")
+    parts = F.when(F.col("hot"), F.array(size_class, size_class + 1)).otherwise(F.array(F.lit(0)))
+    listed = shared.join(hot, "token", "left").withColumn("part", F.explode(parts)).drop("hot").join(maps, "digest")
+    return listed.repartition("token", "part").sortWithinPartitions("token", "part", "size", "digest")
+
+
+def _least(sets: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """digest, copies, component_id of every set."""
+    if labels is None:
+        return sets.select("digest", "copies", F.col("least").alias("component_id"))
+    named = sets.select("digest", "copies", "least").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    least = named.groupBy("label").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("c"))
+    hot = F.broadcast(least.filter(F.col("c") > HEAVY).select("label", F.col("component_id").alias("hot_id")))  # fewer than sets / HEAVY
+    met = named.join(hot, "label", "left")
+    rest = met.filter("hot_id is null").drop("hot_id").join(least.filter(F.col("c") <= HEAVY).drop("c"), "label")
+    return met.filter("hot_id is not null").select("digest", "copies", F.col("hot_id").alias("component_id")).unionByName(rest.select("digest", "copies", "component_id"))
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
     spark, folder = docs.sparkSession, new_folder(docs.sparkSession, "jaccard")
     rows, unique = _rows(docs, folder)
     keyed = rows.select(F.col("row").alias("doc_id"), "text")
     scanned = written(keyed.mapInArrow(tidy(_sets), "kind int, doc_id long, n long, digest long, bitmap binary"), "sets", folder)
-    sets = scanned.filter("kind = 0").select(F.col("doc_id").alias("row"), "n", "digest", "bitmap")
-    sets = sets.withColumn("doc_id", F.col("row")) if unique else sets.join(rows.select("row", "doc_id"), "row")
+    found = scanned.filter("kind = 0").select(F.col("doc_id").alias("row"), "n", "digest")
+    found = found.withColumn("doc_id", F.col("row")) if unique else found.join(rows.select("row", "doc_id"), "row")
+    full = found.filter("n > 0")
     top = scanned.filter("kind = 1").groupBy("digest").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "digest").limit(FREQUENT).toPandas()
     common = top["digest"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(common)
@@ -297,36 +503,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     postings = rows.select("text").mapInArrow(tidy(lambda b: _postings(frequent, b)), "token long, digest long, size int, pos int")
     dealt = postings.repartition(F.col("token")).sortWithinPartitions("token", "size", "digest")
     shared = written(dealt.mapInArrow(tidy(_shared), "token long, digest long, size int, pos int"), "shared", folder)
-    maps = sets.filter("n > 0").groupBy("digest").agg(F.first("bitmap").alias("bitmap"))
+    least = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("known"), "doc_id", "row"))  # of null doc_ids only where there is no other
+    by_set = full.groupBy("digest").agg(least.alias("r"), F.count(F.lit(1)).alias("copies"))
+    sets = written(by_set.select("digest", F.col("r.doc_id").alias("least"), F.col("r.row").alias("row"), "copies"), "distinct", folder)
+    maps = scanned.filter("kind = 0 and n > 0").groupBy("digest").agg(F.first("bitmap").alias("bitmap"))
     maps = written(maps.join(shared.select("digest").distinct(), "digest", "left_semi"), "maps", folder)
-
-    def read(labels: DataFrame | None) -> DataFrame:
-        listed = shared.join(maps, "digest")
-        listed = listed.withColumn("label", F.col("digest")) if labels is None else listed.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-        listed = listed.repartition(F.col("token")).sortWithinPartitions("token", "size", "digest")
-        second = labels is not None
-        return listed.mapInArrow(tidy(lambda b: _pairs(second, b)), "member long, pivot long").distinct()
-
-    texts = rows.select("row", "text")
-    first = written(read(None), "pairs-1", folder)
-    links = _verify(first, sets, texts, "first", folder)
-    edges = links.filter("linked").select(F.col("member").alias("u"), F.col("pivot").alias("v"))
-    labels = written(components(edges, f"{folder}/first"), "labels-1", folder)
-    second = written(read(labels).join(first, ["member", "pivot"], "left_anti"), "pairs-2", folder)
-    if not second.isEmpty():
-        more = _verify(second, sets, texts, "second", folder)
-        edges = edges.unionByName(more.filter("linked").select(F.col("member").alias("u"), F.col("pivot").alias("v")))
-        labels = written(components(edges, f"{folder}/second"), "labels-2", folder)
-    own = sets.filter("n > 0").groupBy("digest").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
-    named = own.join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = written(named.join(least, "label").select("digest", "copies", "component_id"), "components", folder)
-    total = sets.count()
-    heavy = max(HEAVY, -(-total // HEAVY_MOST))  # at most total / heavy sets have more copies: a bound for the broadcast
+    lists = _dealt(shared, maps, folder)
+    groups = written(lists.mapInArrow(tidy(_groups), "member long, pivot long, size int").distinct(), "groups", folder)
+    named = written(_least(sets, _links(groups, sets, rows.select("row", "text"), folder)), "components", folder)
+    heavy = max(HEAVY, -(-full.count() // HEAVY_MOST))  # at most total / heavy sets have more copies: a bound for the broadcast
     hot, rare = F.broadcast(named.filter(F.col("copies") > heavy).drop("copies")), named.filter(F.col("copies") <= heavy).drop("copies")
-    full, columns = sets.filter("n > 0"), ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    columns = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
     out = full.join(hot, "digest", "left_anti").join(rare, "digest").select(columns).unionByName(full.join(hot, "digest").select(columns))
-    return out.unionByName(sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return out.unionByName(found.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
