@@ -1,27 +1,22 @@
-"""Byte-level BPE ids by the tokenizers library, with a bounded cache of encoded words."""
+"""Byte-level BPE ids by the tokenizers library: each distinct word of a slice of texts is encoded once."""
 
 from __future__ import annotations
 
 import os
-import re
-import sys
 from array import array
+from collections.abc import Iterator
 
-os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-
-#: A pre-token of the vocabulary begins wherever a space stands between two non-spaces, so texts can be cut there.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
-
-
-def _packed(ids: list[int]) -> bytes:
-    out = array("I", ids)
-    if sys.byteorder == "big":
-        out.byteswap()
-    return out.tobytes()
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-class _Irregular(Exception):
-    pass
+SLICE_BYTES, MOST_PIECES = 1 << 24, 500_000
+#: Marks that the vocabulary's pattern splits off a word, as one pre-token if they stand together.
+MARKS = ".,;:!?|%&$#*()-\"/"
+#: Letters from here on (none of Latin, Greek or Cyrillic) are left to the library's own tables of what is a letter.
+LAST_LETTER = "\u0530"
 
 
 def _byte_characters() -> dict[int, int]:
@@ -31,93 +26,129 @@ def _byte_characters() -> dict[int, int]:
     return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
 
 
-class Encoder(dict):
-    """ids(text): little-endian unsigned 32-bit ids as bytes, equal to Tokenizer.encode(text, add_special_tokens=False).
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of each pair, one after another."""
+    return flat[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
-    The dictionary holds the ids of what follows a space, up to MOST words of LONGEST characters. A missing word of
-    letters, or letters and marks, is one or two pre-tokens; the library's model encodes those. All else takes the
-    library's whole path.
-    """
 
-    LONGEST, MOST = 48, 600_000
-    MARKS = ".,;:!?|%&$#*()-\"/"
+class Encoder:
+    """ids(texts): ids equal to those of Tokenizer.encode(text, add_special_tokens=False).
+
+    A pre-token of the vocabulary begins wherever one space or line end stands between two non-spaces, so texts are cut
+    there into units: what follows a space, and what begins a line. Each distinct unit of a slice is looked up once: letters
+    and the marks after them are encoded by the library's model, all else by its whole path, and kept (MOST_PIECES and a
+    slice's at most); the ids of the texts are gathered from theirs. Texts with other white space next to a space or line end (empty texts too), and those that spell a special
+    token, take the library's whole path.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenize = self.tokenizer.model.tokenize
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spelled = _byte_characters()
-        self.marks: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.line_end = self._encode("\n")
-
-    def _encode(self, unit: str) -> bytes:
-        return _packed(self.tokenizer.encode(unit, add_special_tokens=False).ids)
-
-    def _piece(self, piece: str) -> bytes:
-        """The ids of one pre-token."""
-        if piece.isascii():  # the model has no other use for a space than as its own character
-            piece = "\u0120" + piece[1:] if piece[0] == " " else piece
-        else:
-            piece = piece.encode().decode("latin-1").translate(self.spelled)
-        return _packed([t.id for t in self.tokenize(piece)])
-
-    def _new(self, word: str, space: str) -> bytes:
-        """The ids of a word after `space` (a space or nothing), which stands between spaces or line ends."""
-        if word.isalpha():
-            return self._piece(space + word)
-        if not word or word[0].isspace() or word[-1].isspace():
-            raise _Irregular
-        stem = word.rstrip(self.MARKS)
-        if not stem.isalpha():
-            return self._encode(space + word)
-        mark = word[len(stem) :]
-        if mark not in self.marks:
-            if len(self.marks) > 10_000:
-                self.marks.clear()
-            self.marks[mark] = self._piece(mark)
-        return (self[stem] if space else self._piece(stem)) + self.marks[mark]
-
-    def __missing__(self, word: str) -> bytes:
-        """word: what follows a space; an irregular one means white space next to that space."""
-        out = self._new(word, " ")
-        if len(word) <= self.LONGEST:
-            self[word] = out
-        return out
-
-    def _head(self, word: str) -> bytes:
-        out = self._new(word, "")
-        if len(word) <= self.LONGEST:
-            self.heads[word] = out
-        return out
-
-    def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._encode(text)
-        if len(self) + len(self.heads) > self.MOST:
-            self.clear()
-            self.heads.clear()
-        try:
-            out = []
-            for line in text.split("\n"):
-                head, *rest = line.split(" ")
-                out.append((self.heads.get(head) or self._head(head)) + b"".join(map(self.__getitem__, rest)))
-            return self.line_end.join(out)
-        except _Irregular:
-            units = _CUT.split(text)
-            return self._encode(units[0]) + b"".join([self[u[1:]] if not u[-1].isspace() else self._encode(u) for u in units[1:]])
+        end = self._whole("\n")
+        if len(end) != 1:
+            raise ValueError("a line end must be one id")
+        self.line_end = int(end[0])
+        self._clear()
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _clear(self) -> None:
+        self.flat, self.ends = array("I"), array("q", [0, 0])  # the ids of the pieces; the first piece has none
+        self.stems: dict[str, dict[str, int]] = {" ": {}, "": {}}
+        self.marks = {"": 0}
+
+    def _piece(self, ids: list[int]) -> int:
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        return len(self.ends) - 2
+
+    def _units(self, words: list[str], space: str) -> np.ndarray:
+        """Two pieces for each of the words after `space`: letters, and the marks after them."""
+        tokenize, spelled, first = self.tokenizer.model.tokenize, self.spelled, chr(self.spelled[32]) if space else ""
+        stems, marks, piece, out = self.stems[space], self.marks, self._piece, []
+        for word in words:
+            stem = word.rstrip(MARKS)
+            k = stems.get(stem)
+            if k is None:
+                if not stem.isalpha() or not (stem.isascii() or max(stem) < LAST_LETTER):
+                    out += (piece(self.tokenizer.encode(space + word, add_special_tokens=False).ids), 0)
+                    continue
+                spelling = stem if stem.isascii() else stem.encode().decode("latin-1").translate(spelled)
+                k = stems[stem] = piece([t.id for t in tokenize(first + spelling)])
+            mark = word[len(stem) :]
+            m = marks.get(mark)
+            if m is None:
+                m = marks[mark] = piece([t.id for t in tokenize(mark)])
+            out += (k, m)
+        return np.array(out, np.int64).reshape(-1, 2)
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (no nulls), one text after another, and the number of each text's ids."""
+        n = len(texts)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.ends) > MOST_PIECES:
+            self._clear()
+        lines = pc.split_pattern(texts, "\n")
+        words = pc.split_pattern(lines.flatten(), " ")
+        heads = words.offsets.to_numpy()[:-1].astype(np.int64)  # each line's first unit
+        first_line = lines.offsets.to_numpy().astype(np.int64)
+        coded = words.flatten().dictionary_encode()
+        code, units = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        trimmed = pc.binary_length(pc.utf8_trim_whitespace(coded.dictionary)).to_numpy()
+        bad = (trimmed == 0) | (trimmed != pc.binary_length(coded.dictionary).to_numpy())
+        is_head = np.zeros(len(code), bool)
+        is_head[heads] = True
+        begin = heads[first_line[:-1]]  # each text's first unit
+        irregular = np.logical_or.reduceat(bad[code], begin)
+        for s in self.special:
+            irregular |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        pieces = np.zeros((2 * len(units) + 1, 2), np.int64)  # of units after a space, of units that begin a line, of a line end
+        for base, space, own in ((0, " ", ~is_head), (len(units), "", is_head)):
+            used = np.flatnonzero((np.bincount(code[own], minlength=len(units)) > 0) & ~bad)
+            pieces[base + used] = self._units([units[k] for k in used.tolist()], space)
+        pieces[-1, 0] = self._piece([self.line_end])
+        code = np.where(is_head, code + len(units), code)
+        later = np.setdiff1d(heads, begin, assume_unique=True)
+        code = np.insert(code, later, len(pieces) - 1)
+        begin = begin + np.searchsorted(later, begin)
+        ends = np.frombuffer(self.ends, np.int64)
+        start, length = ends[:-1], np.diff(ends)
+        # the ids of each unit as one run, then those of the texts
+        size = length[pieces].sum(1)
+        runs = _gathered(np.frombuffer(self.flat, np.uint32), start[pieces].ravel(), length[pieces].ravel())
+        out = _gathered(runs, (np.cumsum(size) - size)[code], size[code])
+        size = size[code]
+        total = np.add.reduceat(size, begin)
+        if not irregular.any():
+            return out, total
+        parts = np.split(out, np.cumsum(total)[:-1])
+        for k in np.flatnonzero(irregular).tolist():
+            parts[k] = self._whole(texts[k].as_py())
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, n)
+
+
+def text_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Pieces of a batch of about SLICE_BYTES text bytes, one row at least, and their texts (null: empty)."""
+    texts = batch.column("text").fill_null("")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at), texts.slice(at, end - at)
+        at = end
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One per worker process: Spark reuses its Python workers, and so the cache."""
+    """One per worker process: Spark reuses its Python workers, and so the vocabulary."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

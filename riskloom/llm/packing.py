@@ -2,13 +2,13 @@
 
 A document's ids fill as many whole windows as they can; the rest, shorter than a window, goes online to the fill level
 that minimises the sum of the squared numbers of partially filled windows over all levels (level 0: a new window). A
-level array holds those numbers, and a stack for each level its open windows. When a task ends, or holds MOST_OPEN open
-windows, the emptier windows are cut up to fill the fuller ones, so that one window at most stays partly filled in a
-task. Tasks pack their own rows: no shuffle, and a lost task packs the same again. sequence_id holds the task's number
-in its upper bits.
+level array holds those numbers, and a stack for each level its open windows. When a task ends, or holds MOST_OPEN open windows, the emptier windows
+are cut up to fill the fuller ones, so that one window at most stays partly filled in a task. Tasks pack their own rows:
+no shuffle, and a lost task packs the same again. sequence_id holds the task's number in its upper bits.
 
-Null text: empty (one piece, the end id alone). Empty table: empty result. A very long document fills many windows.
-Repeated rows are packed as often as they occur. Columns beside doc_id and text are not read.
+Null text: empty (one piece, the end id alone). Null doc_id: packed like others, the pieces have none. Empty table: empty
+result. A very long document fills many windows. Repeated rows are packed as often as they occur. Columns beside doc_id
+and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm.bpe import encoder, forget, vocabulary_path
+from riskloom.llm.bpe import Encoder, encoder, forget, text_slices, vocabulary_path
 from riskloom.llm.common import doc_texts, record, table, tidy
 
 WINDOW, MOST_OPEN = 2048, 4096
@@ -40,6 +40,7 @@ class Packer:
         self.open: list[list[list]] = [[] for _ in range(window + 1)]
         self.n_open = 0
         self.rows: list[tuple] = []
+        self.closed = [0, 0]  # windows of several pieces closed by the choice of a level, and by cutting up open ones
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         n, w = len(ids) // 4, self.window
@@ -50,11 +51,17 @@ class Packer:
             self._place((doc_id, whole, ids[4 * whole :], n), n - whole)
 
     def _place(self, piece: tuple, size: int) -> None:
+        """Adding to level h changes the sum of squares by 2 (N[h + size] - N[h]) + 2, by 1 - 2 N[h] where it closes the
+        window, and a new window by 2 N[size] + 1. Of equal changes the fullest level wins, so that open windows are few."""
         w, levels = self.window, self.levels
-        # adding to level h changes the sum of squares by 2 (N[h + size] - N[h]) + 2; a new window by 2 N[size] + 1
-        gain = np.where(levels[1 : w - size + 1] > 0, levels[1 + size : w + 1] - levels[1 : w - size + 1], w * w)
-        best = int(gain.argmin()) + 1 if len(gain) else 0
-        to = best if best and 2 * gain[best - 1] + 2 <= 2 * levels[size] + 1 else 0
+        fits = w - size  # the level that is closed exactly; fuller ones have no room
+        change = np.full(fits + 1, 4 * w * w)
+        change[:fits] = 2 * (levels[size:w] - levels[:fits]) + 2
+        change[fits] = 1 - 2 * levels[fits]
+        change[levels[: fits + 1] == 0] = 4 * w * w
+        to = fits - int(change[::-1].argmin())
+        if change[to] > 2 * levels[size] + 1:
+            to = 0
         window = self._take(to) if to else []
         window.append(piece)
         if to + size == w:
@@ -71,8 +78,9 @@ class Packer:
         self.n_open -= 1
         return self.open[level].pop()
 
-    def _close(self, window: list) -> None:
+    def _close(self, window: list, cut: bool = False) -> None:
         at = 0
+        self.closed[cut] += len(window) > 1
         for doc_id, start, ids, total in window:
             self.rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, self.next, at, ids))
             at += len(ids) // 4
@@ -100,7 +108,7 @@ class Packer:
                 target.append((doc_id, start, ids, total))
                 fill += len(ids) // 4
             if fill == self.window:
-                self._close(target)
+                self._close(target, True)
             else:
                 self.levels[fill] += 1
                 self.open[fill].append(target)
@@ -115,11 +123,11 @@ class Packer:
         self.compact()
         for h in range(self.window):
             while self.open[h]:
-                self._close(self._take(h))
+                self._close(self._take(h), True)
 
 
-def packed(batches: Iterator[pa.RecordBatch], encode: Callable[[], Callable[[str], bytes]], end_id: int, window: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    ids_of, end = encode(), np.array([end_id], "<u4").tobytes()
+def packed(batches: Iterator[pa.RecordBatch], encode: Callable[[], Encoder], end_id: int, window: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
+    encoder_, end = encode(), np.array([end_id], "<u4").tobytes()
     packer = Packer(window, first=TaskContext.get().partitionId() << TASK_BITS)
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -130,10 +138,13 @@ def packed(batches: Iterator[pa.RecordBatch], encode: Callable[[], Callable[[str
         yield record(_PIECE, *columns)
 
     for batch in batches:
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            packer.add(doc_id, ids_of(text or "") + end)
-            if len(packer.rows) >= 4000:
-                yield from out()
+        for rows, texts in text_slices(batch):
+            ids, counts = encoder_.ids(texts)
+            data, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
+            for doc_id, a, b in zip(rows.column("doc_id").to_pylist(), [0, *ends], ends, strict=False):
+                packer.add(doc_id, data[a:b] + end)
+                if len(packer.rows) >= 4000:
+                    yield from out()
     packer.finish()
     if packer.rows:
         yield from out()
@@ -144,7 +155,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 1, window
     path = vocabulary or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from packed(batches, lambda: encoder(path).ids, end_id, window, keep_ids)
+        yield from packed(batches, lambda: encoder(path), end_id, window, keep_ids)
         forget(path)  # idle workers would each hold one
 
     return doc_texts(docs).mapInArrow(tidy(run), PIECE)

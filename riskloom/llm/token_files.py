@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.bpe import encoder, vocabulary_path
+from riskloom.llm.bpe import encoder, text_slices, vocabulary_path
 from riskloom.llm.common import doc_texts, new_folder, record, table, tidy, written
 
 MOST_BITS, LANE, BLOCK_IDS = 20, 128, 1 << 19
@@ -118,15 +118,16 @@ class Decoder:
 
 def _encoded(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ids of 16 bits where the vocabulary allows, of documents in order; `place` counts them in the task."""
-    ids_of, end, place, part = encoder(path).ids, np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId() << 40
+    encode, place, part = encoder(path), 0, TaskContext.get().partitionId() << 40
     for batch in batches:
-        ids = []
-        for text in batch.column("text").to_pylist():
-            x = np.frombuffer(ids_of(text or "") + end, "<u4")
-            ids.append((b"\x02" + x.astype("<u2").tobytes()) if not len(x) or x.max() < 1 << 16 else b"\x04" + x.tobytes())
-        n = len(ids)
-        yield record(_IDS, batch.column("doc_id"), np.arange(part + place, part + place + n), ids)
-        place += n
+        for rows, texts in text_slices(batch):
+            found, counts = encode.ids(texts)
+            ids = np.insert(found, np.cumsum(counts), end_id)
+            narrow = ids.max(initial=0) < 1 << 16
+            data, width, mark = ids.astype("<u2" if narrow else "<u4").tobytes(), 2 if narrow else 4, b"\x02" if narrow else b"\x04"
+            ends, n = (width * np.cumsum(counts + 1)).tolist(), len(counts)
+            yield record(_IDS, rows.column("doc_id"), np.arange(part + place, part + place + n), [mark + data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+            place += n
 
 
 def _ids(data: bytes) -> np.ndarray:

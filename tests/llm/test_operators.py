@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
@@ -84,12 +85,23 @@ def test_packing(docs, empty):
 
 
 def test_sum_of_squares_choice():
-    p = packing.Packer(10)
-    for n in (6, 3, 4, 7, 5):
-        p.add(n, bytes(4 * n))
-    assert (p.levels >= 0).all() and p.levels.sum() == p.n_open
+    """Each piece goes where a recount of all squares says, the fullest of equal levels first."""
+    rng, w = np.random.default_rng(3), 40
+    p, levels = packing.Packer(w), Counter()
+    for size in rng.integers(1, w, 600).tolist():
+        options = [((levels[size] + 1) ** 2 - levels[size] ** 2, 1, 0)]
+        for h in (h for h, n in levels.items() if n and h + size <= w):
+            after = Counter(levels)
+            after[h] -= 1
+            after[h + size] += h + size < w
+            options.append((sum(n * n for n in after.values()) - sum(n * n for n in levels.values()), -h, h))
+        to = min(options)[2]
+        levels[to] -= to > 0
+        levels[to + size] += to + size < w
+        p.add(size, bytes(4 * size))
+        assert {h: n for h, n in enumerate(p.levels.tolist()) if n} == {h: n for h, n in levels.items() if n}
     q = packing.Packer(16, most_open=9)
-    for n in np.random.default_rng(3).integers(1, 40, 500).tolist():
+    for n in rng.integers(1, 40, 500).tolist():
         q.add(n, bytes(4 * n))
     q.finish()
     fill = Counter()
@@ -98,6 +110,23 @@ def test_sum_of_squares_choice():
     assert sum(1 for v in fill.values() if v < 16) <= 1 and max(fill.values()) == 16
 
 
+def test_the_choice_closes_most_windows():
+    p = packing.Packer()
+    for n in (np.exp(np.random.default_rng(1).normal(5.3, 1.1, 8000)).astype(int) + 1).tolist():
+        p.add(n, bytes(4 * n))
+    p.finish()
+    assert p.closed[0] > 9 * p.closed[1]
+
+
+def test_encoder_equals_the_library():
+    e = encoder(vocabulary_path())
+    texts = [t or "" for _, t in ROWS] + ["it's 's x\n's <b> 3.14,", "a  b", "a\nb", "a\n\nb", " a", "a ", "a\tb", "\x1c a b", "a\r\nb c", "é" * 50, "Straße, Größe! ñandú? ''", "a\u00a0b \u2003c", "x" * 5000, "日本語 テキスト,", "1,000.5 2nd"]
+    ids, n = e.ids(pa.array(texts))
+    for text, part in zip(texts, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+        assert part.tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert [len(x) for x in e.ids(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_token_files_round_trip(spark, docs, empty):
     rows = sorted(token_files.read_tokens(spark, token_files.write_tokens(docs)).collect(), key=lambda r: r.start)
     e, at = encoder(vocabulary_path()).tokenizer, 0
@@ -203,6 +232,53 @@ def test_jaccard_join_on_chains_and_families(spark):
     assert found == _components(rows)
 
 
+@pytest.mark.parametrize(("edits", "portion"), [(3, 500), (3, 40), (4, 40)])
+def test_jaccard_join_on_families_about_the_threshold(spark, monkeypatch, edits, portion):
+    """Hundreds of texts of which few pairs are linked, in one portion and in many; rows sent on stay in proportion."""
+    monkeypatch.setattr(jaccard_join, "PORTION", portion)
+    rng = np.random.default_rng(edits)
+    base, rows = [f"w{x}" for x in rng.integers(0, 5000, 200)], []
+    for k in range(240):
+        words = list(base)
+        for at in rng.integers(0, 200, edits).tolist():
+            words[at] = f"x{rng.integers(1 << 30)}"
+        rows.append((k, " ".join(words)))
+    sent = []
+    links = jaccard_join._links
+    monkeypatch.setattr(jaccard_join, "_links", lambda groups, *rest: sent.append(groups.count()) or links(groups, *rest))
+    found = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert found == _components(rows) and sent[0] < 20 * len(rows)
+
+
+def test_list_readers_find_the_same_pairs(monkeypatch):
+    """Short lists side by side, and a long list row by row: the same connected parts as all pairs."""
+    rng = np.random.default_rng(7)
+    bases, sets = rng.integers(1, 1 << 62, (3, 150)).astype(np.uint64), []
+    for k in range(60):
+        s = bases[k % 3][rng.random(150) < rng.choice([0.7, 0.9, 0.97])]
+        sets.append(np.unique(np.concatenate([s, rng.integers(1, 1 << 62, int(rng.integers(0, 12))).astype(np.uint64)])))
+    sets.sort(key=len)
+    rows = jaccard_join.Rows(np.arange(60), np.array([len(s) for s in sets]), rng.integers(0, 12, 60), pa.array([jaccard_join.bitmap(s) for s in sets], pa.binary()))
+    i, j = np.triu_indices(60, 1)
+    ok = rows.passing(i, j)
+    want = jaccard_join._parts(60, i[ok], j[ok])
+    for size in (2, 60):
+        monkeypatch.setattr(jaccard_join, "SHORT_LIST", size)
+        member, pivot, _ = jaccard_join._grouped(rows, np.zeros(60, np.uint64))
+        assert (jaccard_join._parts(60, member, pivot) == want).all() and len(set(want.tolist())) > 1
+
+
+def test_derived_answers():
+    """Overlaps that are derived from the pivot's equal those counted anew, for like and unlike sets."""
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(1, 1 << 62, 300).astype(np.uint64))
+    sets = [base] + [np.unique(np.concatenate([base[rng.random(len(base)) < p], rng.integers(1, 1 << 62, 30).astype(np.uint64)])) for p in rng.uniform(0, 1, 40)]
+    answers = jaccard_join.Answers(base, sets)
+    for s in sets:
+        both = np.array([len(np.intersect1d(s, t)) for t in sets])
+        assert answers.linked(s).tolist() == np.flatnonzero(both >= jaccard_join.needed(np.array([len(t) for t in sets]), len(s))).tolist()
+
+
 def test_components(spark):
     edges = [(i + 1, i) for i in range(50)] + [(100, 200), (200, 300), (7, 7)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long").repartition(4), jaccard_join.new_folder(spark, "t")).collect()}
@@ -243,24 +319,52 @@ def test_decontaminate(spark, docs, empty):
 
 
 def test_token_counts(docs, empty):
-    scores = token_counts.unigram_scores(vocabulary_path("piece_bpe_32k.model"))
+    """Against the whole dynamic program of each word by itself: scores by rank first, then those learnt from its counts."""
+    pieces = token_counts.pieces_of(vocabulary_path("piece_bpe_32k.model"))
 
-    def best(word):
-        table = [(0.0, 0)]
+    def best(word, scores):
+        table = [(0.0, 0, ())]
         for end in range(1, len(word) + 1):
             n = len(word[end - 1].encode())
-            options = [(table[end - 1][0] + n * token_counts.UNKNOWN, table[end - 1][1] + n)] + [(table[s][0] + scores[word[s:end]], table[s][1] + 1) for s in range(end - 1, -1, -1) if word[s:end] in scores]
+            options = [(table[end - 1][0] + n * token_counts.UNKNOWN, table[end - 1][1] + n, table[end - 1][2])]
+            options += [(table[s][0] + scores[word[s:end]], table[s][1] + 1, (*table[s][2], word[s:end])) for s in range(end - 1, -1, -1) if word[s:end] in scores]
             top = max(o[0] for o in options)
             table.append([o for o in options if o[0] == top][-1])
         return table[-1]
 
+    first, used, known = dict(zip(pieces, token_counts.rank_scores(len(pieces)).tolist())), Counter(), {}
+    for _, text in ROWS:
+        for w in (text or "").split():
+            known[w] = known.get(w) or best("▁" + w, first)
+            used.update(known[w][2])
+    counts = np.array([used[p] for p in pieces])
+    scores, known = dict(zip(pieces, np.log((counts + 1) / (counts.sum() + len(pieces))).tolist())), {}
     for r in token_counts.count_tokens(docs).collect():
         text = dict(ROWS)[r.doc_id]
-        each = [best("▁" + w) for w in (text or "").split()]
-        assert (r.n_pretokens, r.n_tokens) == (len(each), sum(n for _, n in each)) and math.isclose(r.score, sum(s for s, _ in each), abs_tol=1e-6)
+        each = [known.setdefault(w, None) or known.update({w: best("▁" + w, scores)}) or known[w] for w in (text or "").split()]
+        assert (r.n_pretokens, r.n_tokens) == (len(each), sum(x[1] for x in each)) and math.isclose(r.score, sum(x[0] for x in each), abs_tol=1e-6)
     assert token_counts.count_tokens(empty).count() == 0
 
 
+def test_trie_shares_prefixes():
+    count = token_counts.counter(vocabulary_path("piece_bpe_32k.model"))
+    words = ["▁pre" + x for x in ("fix", "fixes", "fixed", "sent", "sents", "")]
+    trie = token_counts.Trie(words, count.automaton)
+    assert len(trie.parent) - 1 == len({w[:k] for w in words for k in range(1, len(w) + 1)})  # a node a distinct prefix
+    scores = token_counts.rank_scores(len(count.pieces))
+    trie.forward(count.automaton, scores)
+    by_piece = {p: float(scores[k]) for p, k in count.index.items()}
+    alone = [token_counts.segment(w, by_piece, count.longest) for w in words]
+    assert trie.tokens[trie.terminal].tolist() == [n for n, _, _ in alone] and np.allclose(trie.best[trie.terminal], [b for _, b, _ in alone])
+    weights = np.arange(1.0, len(words) + 1)
+    expected = Counter()
+    for (_, _, parts), w in zip(alone, weights.tolist()):
+        for p in parts:
+            expected[count.index[p]] += w
+    used = trie.used(weights, len(count.pieces))
+    assert {k: used[k] for k in np.flatnonzero(used).tolist()} == dict(expected)
+
+
 def test_quality(spark, docs, empty):
     rows = {r.doc_id: r for r in quality.op3_quality(spark, "/root/testdata/sf0.01").collect()}
     truth = [(rows[r.doc_id], r.quality) for r in table(spark, "/root/testdata/sf0.01", "labels").collect() if r.doc_id in rows]
