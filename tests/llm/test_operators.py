@@ -402,13 +402,59 @@ def test_language_model(spark, docs, empty):
     assert sorted(str((r.doc_id, not r.trained, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4))) for r in rows) == expected
     assert all(math.isfinite(r.score) and r.score < 0 for r in rows)
     assert language_model.score(empty).count() == 0
-    real = language_model.op9_lm_scoring(spark, SF).collect()
-    assert sum(r.score for r in real if r.held_out) > sum(r.base_score for r in real if r.held_out)
-
-
-def test_class_probabilities_sum_to_one():
-    weights = np.random.default_rng(2).normal(size=(language_model.BUCKETS, language_model.CLASSES))
-    assert np.allclose(np.exp(language_model.log_probabilities(weights, language_model.feature_rows()[:500])).sum(1), 1)
+    assert {r.n_known for r in language_model.score(docs, F.lit(False)).collect()} == {0}
+
+
+def test_language_model_score(spark, monkeypatch):
+    """The score against a sum token by token from the model's weights, and above the base on texts held out."""
+    models = []
+    train = language_model.train
+    monkeypatch.setattr(language_model, "train", lambda *a: models.append(train(*a)) or models[-1])
+    docs = table(spark, SF, "documents")
+    rows = {r.doc_id: r for r in language_model.op9_lm_scoring(spark, SF).collect()}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    m = models[0]
+    split = {d: [*re.findall(r"[^\x20\x09-\x0D]+", norm(t).decode()), None] for d, t in texts.items()}
+    counts = Counter(w for d, ws in split.items() if not rows[d].held_out for w in ws)
+    own = {int(w): int(leaf) for w, leaf in zip(m.own, m.leaf_of)}
+    by_hash = {int(language_model.tokens([(w or "").encode()]).hashes[0]): n for w, n in counts.items()}
+    assert [by_hash[w] for w in sorted(own, key=own.get)] == sorted(counts.values(), reverse=True)[: language_model.OWN]
+    for d in sorted(texts)[:12]:
+        t, total, of_leaf = language_model.tokens([texts[d].encode()]), 0.0, m.leaves(language_model.tokens([texts[d].encode()]))
+        for i, w in enumerate(split[d]):
+            x = language_model.features(t, i, i + 1)[:, 0]
+            z = m.weights[:, x].sum(1)
+            a, b = divmod(own.get(int(t.hashes[i]), language_model.OWN + int(t.kinds[i])), language_model.CLASSES)
+            assert a * language_model.CLASSES + b == of_leaf[i]
+            za, zb = z[: language_model.CLASSES] + m.bias[0], z[language_model.CLASSES :] + m.bias[1][a]
+            total += math.log10(np.exp(za[a]) / np.exp(za).sum()) + math.log10(np.exp(zb[b]) / np.exp(zb).sum())
+            total += 0 if int(t.hashes[i]) in own else math.log10(counts[w] + 1) - m.spread[of_leaf[i]]
+        assert math.isclose(rows[d].score, total, rel_tol=1e-4)
+    held = [r for r in rows.values() if r.held_out]
+    assert sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held) > 0.04
+
+
+def test_features_do_not_cross_texts():
+    both, alone = language_model.tokens([b"a b c d e", b"c d e"]), language_model.tokens([b"c d e"])
+    n, k = len(both.hashes), len(alone.hashes)
+    assert (language_model.features(both, n - k, n) == language_model.features(alone, 0, k)).all()
+    whole = language_model.features(both, 0, n)
+    assert (np.concatenate([language_model.features(both, a, min(a + 2, n)) for a in range(0, n, 2)], 1) == whole).all()
+
+
+def test_class_probabilities_sum_to_one(spark):
+    totals = spark.createDataFrame([(i + 1, i % (language_model.LEAVES - language_model.OWN), max(0, 300 - i)) for i in range(400)], "word long, kind int, n long")
+    m = language_model._untrained(totals)
+    m.weights = np.random.default_rng(2).normal(size=m.weights.shape).astype(np.float32)
+    t = language_model.tokens([b"some words in a text"])
+    p = m.probabilities(language_model.features(t, 0, 6), m.leaves(t))
+    assert np.allclose(p[: language_model.CLASSES].sum(0), 1, atol=1e-5) and np.allclose(p[language_model.CLASSES :].sum(0), 1, atol=1e-5)
+    assert m.n_all == sum(range(1, 301)) and m.n_distinct == 300 and len(m.own) == language_model.OWN
+    places = Counter()  # of the words of a leaf, and one for all that training does not have
+    for i in range(300):
+        if i >= language_model.OWN:
+            places[language_model.OWN + i % (language_model.LEAVES - language_model.OWN)] += 301 - i
+    assert all(math.isclose(10 ** m.spread[leaf], n + 1) for leaf, n in places.items())
 
 
 def test_sharding(spark, docs, empty):
