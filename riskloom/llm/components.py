@@ -54,7 +54,7 @@ def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """edges: u, v (longs). Returns node, label: of each node with an edge, the smallest node reachable. Raises if MOST_ROUNDS don't suffice."""
+    """edges: u, v (longs; rows with a null are no edges, an empty table gives an empty one). Returns node, label: of each node with an edge, the smallest node reachable. Raises if MOST_ROUNDS don't suffice."""
     now = written(edges.select("u", "v").filter("u <> v").mapInArrow(tidy(_contracted), "u long, v long").distinct(), "edges-0", folder)
     sums = None
     for k in range(1, MOST_ROUNDS + 1):

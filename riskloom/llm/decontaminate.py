@@ -4,10 +4,11 @@ A-Z are lower-cased; words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+, that is, r
 characters. A window is 10 consecutive words of an item; an item of fewer, but not none, is one window. A document word
 inside any occurrence of a window is hit. Null and empty texts have no words; null items are no windows. Repeated rows
 of documents give a row each; repeated items count as one item for each distinct item_id; an item whose item_id is null
-marks words, but is no item to list. Empty tables: nothing is hit. Other columns are not read.
+marks words, but is no item to list; null doc_ids give rows without one. Very long texts are read whole. Empty tables:
+nothing is hit. Other columns, whatever their names, are not read.
 
 The hash set is broadcast in blocks of at most BLOCK_BYTES of item text: the scan of the documents is one pass for each
-block, and each pass holds one block only. A scan first marks the words that occur in the block at all; only runs of
+block, written before the next block is read. A scan first marks the words that occur in the block at all; only runs of
 such words as long as the shortest window are hashed and compared with the windows' own words.
 """
 
@@ -16,8 +17,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,25 +110,24 @@ def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[int | None,
 def scan(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans (start and end word of each hit span in turn) and items of every document."""
     spark = docs.sparkSession
-    rows, parts = doc_texts(docs).withColumn("row", F.lit(0).cast("long")), []
-    for k, block in enumerate(_blocks(benchmark, block_bytes)):
-        if k == 1:  # rows need an identity once several passes meet
-            rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows", new_folder(spark, "decontaminate"))
-            parts = []
-        if k:
-            parts.append(_passed(rows, block))
-            if k == 1:
-                parts.insert(0, _passed(rows, first))
-        first = block if k == 0 else first
-    if not parts:
-        return _passed(rows, first).drop("row")
+    rows, blocks = doc_texts(docs).withColumn("row", F.lit(0).cast("long")), _blocks(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _passed(rows, first)[0].drop("row")
+    # rows need an identity where several passes meet; each pass is written before the next block is read
+    folder = new_folder(spark, "decontaminate")
+    rows, parts = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows", folder), []
+    for k, block in enumerate(chain((first, second), blocks)):
+        passed, held = _passed(rows, block)
+        parts.append(written(passed if not k else passed.filter(F.size("spans") > 0), f"pass-{k}", folder))
+        held.destroy()
     met = reduce(DataFrame.unionByName, parts).groupBy("doc_id", "row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return met.drop("row")
 
 
-def _passed(rows: DataFrame, block: list) -> DataFrame:
+def _passed(rows: DataFrame, block: list) -> tuple[DataFrame, Broadcast]:
     held = rows.sparkSession.sparkContext.broadcast(block)
-    return rows.mapInArrow(tidy(lambda batches: _scan(held, batches)), SCANNED)
+    return rows.mapInArrow(tidy(lambda batches: _scan(held, batches)), SCANNED), held
 
 
 _DIGEST = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())])

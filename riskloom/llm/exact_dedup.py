@@ -2,7 +2,8 @@
 
 Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest
 doc_id stays (a null doc_id is smaller than all others). Rows repeated with the same doc_id and text: one of them
-stays. Empty table: empty result. Columns beside doc_id and text are not read.
+stays. Very long texts are read whole, one at a time. Empty table: empty result. Columns beside doc_id and text, whatever
+their names, are not read.
 
 1. A scan hashes each text to a 64-bit key; counts of the keys' leading bits make the directory: buckets over the
    capacity split, and when a bucket's depth passes the directory's, the directory doubles. A key's copies never part,
@@ -34,7 +35,7 @@ HEAVY, BROADCAST_MOST = 500, 50_000
 FOLD_BYTES = 24 << 20
 
 _KEYED = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("text_sha256", pa.string())])
-_FOLDED = pa.schema([("key", pa.int64()), ("norm", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64()), ("ties", pa.int64())])
+_FOLDED = pa.schema([("owner", pa.int32()), ("key", pa.int64()), ("norm", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64()), ("ties", pa.int64())])
 _ENTRY = pa.schema([("key", pa.int64()), ("chain", pa.int32()), ("text_sha256", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64()), ("ties", pa.int64())])
 
 
@@ -62,15 +63,17 @@ def _add(entry: list, doc_id: int | None, n: int, ties: int) -> None:
     entry[1] += n
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Copies within the task as one row; what exceeds FOLD_BYTES is handed on, but for texts seen often."""
+def _folded(ranges, depth: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ranges: the first key prefix of each owner. Copies within the task as one row; what exceeds FOLD_BYTES is handed on, but for texts seen often."""
     seen: dict[bytes, list] = {}
     held = 0
 
     def out(items: list) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(items), 2000):
             part = items[i : i + 2000]
-            yield record(_FOLDED, [_key(t) for t, _ in part], [t for t, _ in part], *([e[k] for _, e in part] for k in range(3)))
+            keys = np.array([_key(t) for t, _ in part], np.int64)
+            owner = np.searchsorted(ranges.value, keys.view(np.uint64) >> np.uint64(64 - depth), "right") - 1
+            yield record(_FOLDED, owner.astype(np.int32), keys, [t for t, _ in part], *([e[k] for _, e in part] for k in range(3)))
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
@@ -97,7 +100,7 @@ def _owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.extend((key, i, hashlib.sha256(t).hexdigest(), *e) for i, (t, e) in enumerate(chain.items()))
 
     for batch in batches:
-        for k, norm, keep_id, n, ties in zip(*(batch.column(c).to_pylist() for c in _FOLDED.names), strict=True):
+        for k, norm, keep_id, n, ties in zip(*(batch.column(c).to_pylist() for c in _FOLDED.names[1:]), strict=True):
             if k != key:
                 if key is not None:
                     close()
@@ -149,13 +152,13 @@ class Directory:
         return owner[self.buckets]
 
 
-def _directory(keyed: DataFrame, capacity: int) -> Directory:
-    """From one aggregate over the distinct keys, 32 to 64 numbers for each bucket that the directory will have.
+def _directory(keyed: DataFrame, total: int, capacity: int) -> Directory:
+    """keyed has total rows. From one aggregate over the distinct keys, 32 to 64 numbers for each bucket that the directory will have.
 
     So many bits are enough for hashed keys; a bucket that is overfull even then stays so, and its owner reads it as a
     stream.
     """
-    fine = min(MAX_DEPTH, max(START_DEPTH, (keyed.count() // capacity).bit_length() + 5))
+    fine = min(MAX_DEPTH, max(START_DEPTH, (total // capacity).bit_length() + 5))
     counts = np.zeros(1 << fine, np.int64)
     for p, n in keyed.select("key").distinct().groupBy(_prefix(fine).alias("p")).agg(F.count("key")).toLocalIterator():
         counts[p] = n
@@ -167,19 +170,16 @@ def exact_dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = docs.sparkSession
     rows, folder = doc_texts(docs), new_folder(spark, "dedup")
     keyed = written(rows.mapInArrow(tidy(_keyed), "doc_id long, key long, text_sha256 string"), "keyed", folder)
-    directory = _directory(keyed, capacity)
-    total, texts = keyed.count(), int(directory.counts.sum())
+    total = keyed.count()
+    directory = _directory(keyed, total, capacity)
+    texts = int(directory.counts.sum())
     owners = max(1, min(len(directory.counts), max(texts // capacity + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     slots = directory.owners(owners)
     runs = np.flatnonzero(np.r_[True, slots[1:] != slots[:-1]])  # first slot of each owner
-    owner = F.lit(0)
-    for start in runs[1:].tolist():
-        owner = owner + (_prefix(directory.depth) >= start).cast("int") if len(runs) <= 64 else owner
-    if len(runs) > 64:
-        owner = F.element_at(F.lit(slots.tolist()), (_prefix(directory.depth) + 1).cast("int"))
-    spark.createDataFrame([(directory.depth, [int(x) for x in runs], [int(slots[x]) for x in runs])], "depth int, first_slot array<int>, owner array<int>").coalesce(1).write.parquet(f"{folder}/directory")
-    folded = rows.mapInArrow(tidy(_folded), "key long, norm binary, keep_id long, n long, ties long")
-    index = folded.repartitionById(owners, owner.cast("int")).sortWithinPartitions("key").mapInArrow(tidy(_owned), "key long, chain int, text_sha256 string, keep_id long, group_size long, ties long")
+    spark.createDataFrame([(directory.depth, [int(x) for x in runs])], "depth int, first_slot array<long>").coalesce(1).write.parquet(f"{folder}/directory")
+    ranges, depth = spark.sparkContext.broadcast(runs.astype(np.uint64)), directory.depth  # a number for each owner
+    folded = rows.mapInArrow(tidy(lambda batches: _folded(ranges, depth, batches)), "owner int, key long, norm binary, keep_id long, n long, ties long")
+    index = folded.repartitionById(len(runs), F.col("owner")).sortWithinPartitions("key").mapInArrow(tidy(_owned), "key long, chain int, text_sha256 string, keep_id long, group_size long, ties long")
     index = written(index, "index", folder)
     found = look_up(keyed, index, total)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))

@@ -8,8 +8,10 @@ cost of changing language, labels every word, and so spans of mixed text. The la
 spans is the text's; the score is its share of the letters times the mean margin, as a probability.
 
 Null texts and texts without any letter: `und`, score 0. Texts of words in unknown scripts: all languages stay
-candidates. Rows without lang are not learnt from; no training row: `und`, score 0. Repeated rows give a row each. Very
-long texts are read whole, in batches of words. Other columns are not read.
+candidates. Rows without lang are not learnt from; no training row: `und`, score 0. Null doc_ids: rows without one.
+Repeated rows give a row each; of equal shares the first language in alphabetical order wins. Very long texts are read
+whole, with a byte for each word and language (two with more than 256 languages; a model has BUCKETS numbers for each
+language). Empty table: empty result. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.common import fold, mixed, record, table, tidy
 
-BUCKETS, SWITCH, SMOOTH, MOST_LANGUAGES, MOST_WORDS = 1 << 16, 4.0, 0.5, 256, 200_000
+BUCKETS, SWITCH, SMOOTH, MOST_WORDS = 1 << 16, 4.0, 0.5, 200_000
 CANDIDATE_SHARE = 0.001
 
 #: First code points of ranges and their scripts (fixed values of the Unicode blocks).
@@ -181,7 +183,8 @@ class Model:
         best = np.zeros((n, k), np.float32)
         first = np.cumsum(lengths) - lengths
         flat = np.concatenate([rows[i] for i in order]) if n else np.zeros(0, np.int64)
-        back = np.zeros((len(flat), k), np.uint8)
+        narrow = np.min_scalar_type(max(0, k - 1))
+        back = np.zeros((len(flat), k), narrow)
         active = np.searchsorted(-lengths, -np.arange(longest), "left")  # texts that have a word at this place
         for t in range(longest):  # the texts walk side by side
             a = active[t]
@@ -190,9 +193,9 @@ class Model:
             top = b.argmax(1)
             switch = b[np.arange(a), top] - SWITCH
             stay = b >= switch[:, None]
-            back[at] = np.where(stay, np.arange(k, dtype=np.uint8), top[:, None].astype(np.uint8))
+            back[at] = np.where(stay, np.arange(k, dtype=narrow), top[:, None].astype(narrow))
             best[:a] = np.where(stay, b, switch[:, None]) + self.scores[flat[at]]
-        labels, state = np.zeros(len(flat), np.uint8), best.argmax(1)
+        labels, state = np.zeros(len(flat), narrow), best.argmax(1)
         for t in range(longest - 1, -1, -1):
             a = active[t]
             at = first[:a] + t
@@ -209,8 +212,6 @@ def learn(rows: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     sums = rows.select(F.col("text").cast("string"), F.col("lang").cast("string")).filter("text is not null and lang is not null").mapInArrow(tidy(_counted), _COUNTS).groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
     found: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     for lang, kind, at, n in sums.toLocalIterator():
-        if lang not in found and len(found) == MOST_LANGUAGES:
-            raise ValueError(f"more than {MOST_LANGUAGES} languages")
         found.setdefault(lang, (np.zeros(BUCKETS), np.zeros(len(SCRIPTS))))[kind][at] = n
     langs = sorted(found)
     stack = lambda k, size: np.stack([found[x][k] for x in langs], 1) if langs else np.zeros((size, 0))

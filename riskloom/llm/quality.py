@@ -8,7 +8,8 @@ BINS bins, whose sums come from the partitions too. All labelled rows outside th
 
 Null text counts as empty; an empty text has statistics and a score like any other. Null labels are not learnt from.
 Several labels of a doc_id: their mean counts. Repeated rows give a row each. Without any training row (or an empty
-table) the score is PRIOR. Other columns are not read. predicted: score >= THRESHOLD.
+table) the score is PRIOR. Null doc_ids are scored and not learnt from. Very long texts are read whole. Other columns,
+whatever their names, are not read. predicted: score >= THRESHOLD.
 """
 
 from __future__ import annotations

@@ -2,12 +2,15 @@
 
 Format, a folder of Parquet tables in shared storage: `codebook` (id, bits: the code length of each id; codes are
 canonical, that is, given in order of length, then id) and `blocks`, one row for each block of whole documents in
-ascending doc_id order, named by its part and the place of its first document there: doc_ids, n_tokens (ids of each document, with its end id), start_bits (bit offset of each
-document in the payload), lane_bits (bit offsets of every LANE-th id: checkpoints from which lanes decode side by
-side), n_ids, payload and its crc32. A block needs nothing from other blocks, so any can be read alone.
-
-Null text: empty (the end id alone). Null doc_id sorts first. Repeated rows are written as often as they occur.
-Empty table: no blocks, an empty result. A document longer than a block is a block by itself. Other columns are not read.
+ascending doc_id order, named by its part and the place of its first document there: doc_ids, n_tokens (ids of each
+document, with its end id), start_bits (bit offset of each document in the payload), lane_bits (bit offsets of every
+LANE-th id: checkpoints from which lanes decode side by side), n_ids, payload and its crc32. A block needs nothing from
+other blocks, so any can be read alone.
+
+Null text: empty (the end id alone). Null doc_id sorts first. Rows that share a doc_id, or have none, go by the hash of
+their text, over several tasks if they are many; repeated rows are written as often as they occur. Empty table: no
+blocks, an empty result. A document longer than a block is a block by itself. Other columns, whatever their names, are
+not read.
 """
 
 from __future__ import annotations
@@ -187,7 +190,8 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2
     """
     spark = docs.sparkSession
     folder, path = folder or new_folder(spark, "tokens"), vocabulary or vocabulary_path()
-    ranged = doc_texts(docs).repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id").sortWithinPartitions("doc_id")
+    rows = doc_texts(docs).withColumn("tie", F.xxhash64("text"))
+    ranged = rows.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ids = written(ranged.mapInArrow(tidy(lambda batches: _encoded(path, end_id, batches)), "doc_id long, place long, ids binary"), "ids", folder, compression="zstd")
     counts = np.zeros(1, np.int64)
     for i, n in ids.select("ids").mapInArrow(tidy(_counted), "id long, n long").groupBy("id").agg(F.sum("n")).toLocalIterator():  # one row an id of the vocabulary

@@ -1,9 +1,15 @@
 """The pipeline's stages against brute force on small tables."""
 
+import itertools
+import re
+from collections import Counter
+
 import corpus_pipeline
+import numpy as np
 from conftest import SF
 from pyspark.sql import functions as F
 from riskloom.llm import decontaminate, exact_dedup, jaccard_join, quality
+from riskloom.llm.bpe import encoder, vocabulary_path
 from riskloom.llm.common import table
 
 
@@ -49,6 +55,94 @@ def test_rows_that_share_an_id_are_decided_one_by_one(spark):
     assert set(judged.values()) == {0, 1} and kept == {d for d, p in judged.items() if p == 1}
 
 
-def test_run(spark):
-    pieces = corpus_pipeline.run(spark, SF).collect()
-    assert pieces and all(r.length == len(r.ids) // 4 for r in pieces)
+LONG = " ".join(f"w{i % 997}x{i}" for i in range(20_000))
+
+
+def _awkward(spark, item):
+    """Equal texts in other case, near copies, benchmark passages, nulls, ties, repeated rows, a very long text, and
+    columns named like those that the stages make."""
+    near = [f"t{i}" for i in range(80)]
+    texts = [(1, "Some plain words here"), (2, "SOME plain words HERE"), (2, "some plain words here"), (None, "some plain words here"), (3, " ".join(near)), (4, " ".join([*near, "end"])),
+             (5, f"before {item} after"), (6, None), (7, ""), (8, LONG), (9, LONG + " tail"), (10, "x"), (10, "x"), (None, None), (11, "Ünïcode \u0130 words")]
+    return spark.createDataFrame([(d, t, "k", 5, "n", 1.5, "s") for d, t in texts], "doc_id long, text string, row string, n int, _norm string, size double, last string"), texts
+
+
+def _words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").encode().lower().decode())
+
+
+def test_stages_on_awkward_rows_against_brute_force(spark):
+    bench = [r.text for r in table(spark, SF, "benchmark").collect() if r.text]
+    item = next(t for t in bench if len(_words(t)) > 12)
+    docs, rows = _awkward(spark, item)
+    row = lambda r: (str(r.doc_id), str(r.text))
+    found = corpus_pipeline.dedup_stage(spark, docs, SF)
+    assert found.columns == docs.columns
+    by_text = {}
+    for d, t in rows:
+        by_text.setdefault((t or "").encode().lower(), []).append((d is not None, d or 0, t))
+    kept = {t: max(group, key=lambda g: g[:2]) for t, group in by_text.items()}
+    got = found.collect()
+    assert Counter((r.text or "").encode().lower() for r in got) == Counter(by_text.keys()) and all(r.doc_id == (kept[(r.text or "").encode().lower()][1] or None) for r in got)
+    grams = set()
+    for t in bench:
+        w = _words(t)
+        grams |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(g) for g in grams}
+    hit = lambda t: any(tuple(_words(t)[i : i + n]) in grams for n in sizes for i in range(len(_words(t)) - n + 1))
+    clean = corpus_pipeline.decontamination_stage(spark, docs, SF)
+    assert sorted(map(row, clean.collect())) == sorted((str(d), str(t)) for d, t in rows if not hit(t)) and clean.columns == docs.columns
+    sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").encode().lower().split()) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        both = len(sets[i] & sets[j])
+        if both and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+            group = [group[i] if g == group[j] else g for g in group]
+    near = corpus_pipeline.near_duplicate_stage(spark, docs, SF)
+    left = {}
+    for k, (d, t) in enumerate(rows):
+        key = (group[k] if sets[k] else -1 - k, d is None, d or 0)
+        left.setdefault(key[0], []).append((key[1:], d))
+    assert sorted(str(r.doc_id) for r in near.collect()) == sorted(str(min(g)[1]) for g in left.values()) and near.columns == docs.columns
+    judged = quality.score(quality.describe(docs), quality.fit(quality.describe(docs), quality.learnable(table(spark, SF, "labels")))).collect()
+    accepted = corpus_pipeline.quality_stage(spark, docs, SF)
+    assert accepted.count() == sum(r.predicted for r in judged) and accepted.columns == docs.columns
+    library = encoder(vocabulary_path()).tokenizer
+    want = Counter(tuple([*library.encode(t or "", add_special_tokens=False).ids, 1]) for _, t in rows)
+    pieces, whole = corpus_pipeline.packing_stage(spark, docs, SF).collect(), Counter()
+    for r in pieces:
+        whole[str(r.doc_id)] += r.length
+    lengths = Counter()
+    for d, t in rows:
+        lengths[str(d)] += len(library.encode(t or "", add_special_tokens=False).ids) + 1
+    assert whole == lengths and sum(len(k) * n for k, n in want.items()) == sum(r.length for r in pieces)
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = _awkward(spark, "item")[0].limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_run(spark, tmp_path):
+    """All stages in a row on a small folder of tables, an awkward documents table among them."""
+    item = next(r.text for r in table(spark, SF, "benchmark").collect() if r.text and len(r.text.split()) > 12)
+    extra = _awkward(spark, item)[0].select("doc_id", "text").withColumn("doc_id", F.col("doc_id") + 1_000_000)
+    table(spark, SF, "documents").unionByName(extra, True).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, SF, name).write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = table(spark, str(tmp_path), "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), "stage", corpus_pipeline.new_folder(spark, "test"))
+    library, want = encoder(vocabulary_path()).tokenizer, Counter()
+    for r in docs.collect():
+        want[tuple([*library.encode(r.text or "", add_special_tokens=False).ids, 1])] += 1
+    by_doc, found = {}, Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        by_doc.setdefault(r.doc_id, []).append(r)
+    for pieces in by_doc.values():
+        pieces.sort(key=lambda r: r.start)
+        assert [p.start for p in pieces] == [0, *itertools.accumulate(p.length for p in pieces)][:-1]
+        found[tuple(np.frombuffer(b"".join(bytes(p.ids) for p in pieces), "<u4").tolist())] += 1
+    assert found == want
