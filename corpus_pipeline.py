@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, in stages that are each written as Parquet and read again.
 
 A stage decides by row, also where rows share a doc_id or have none: each numbers its rows when it writes its input and
-filters by those numbers (the exact dedup instead decides by doc_id and text, and leaves one of rows repeated with both).
-An empty table stays empty through all stages. Columns beside doc_id and text are carried along unread.
+filters by those numbers. Null texts count as empty, very long ones are read whole. An empty table stays empty through
+all stages. Columns beside doc_id and text are carried along unread, whatever their names.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, exact_dedup, jaccard_join, packing, quality
-from riskloom.llm.common import ascii_lower, new_folder, table, written
+from riskloom.llm.common import new_folder, table, written
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -40,14 +40,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
-    found = written(exact_dedup.exact_dedup(docs), "kept", new_folder(spark, "pipeline"))
-    kept = found.filter("kept").select(F.col("doc_id").alias("kept_doc_id"), F.col("text_sha256").alias("kept_sha256"))
-    sha = F.sha2(ascii_lower(F.coalesce(docs["text"], F.lit(""))), 256)
-    out = docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["kept_doc_id"]) & (sha == kept["kept_sha256"]), "left_semi")
-    if found.filter("kept").count() == out.select("doc_id").count():
-        return out
-    return out.withColumn("_norm", sha).dropDuplicates(["doc_id", "_norm"]).drop("_norm")
+    """Of equal texts the row with the largest doc_id stays (nulls last); of such rows repeated, that with the largest number."""
+    rows, row = _numbered(docs)
+    found = written(exact_dedup.exact_dedup(_by_row(rows, row)).select(F.col("doc_id").alias("at"), "keep_id", "group_size"), "groups", new_folder(spark, "pipeline"))
+    ids = rows.select(F.col(row).alias("at"), F.col("doc_id").cast("long").alias("doc_id"))
+    last = F.max(F.struct(F.col("doc_id").isNotNull(), "doc_id", "at"))
+    chosen = found.filter("group_size > 1").join(ids, "at").groupBy("keep_id").agg(last.alias("last")).select("last.at")
+    return _only(rows, row, found.filter("group_size = 1").select("at").unionByName(chosen))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
