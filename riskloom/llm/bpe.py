@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-SLICE_BYTES, MOST_PIECES = 1 << 24, 500_000
+SLICE_BYTES, MOST_PIECES = 1 << 22, 500_000
 #: Marks that the vocabulary's pattern splits off a word, as one pre-token if they stand together.
 MARKS = ".,;:!?|%&$#*()-\"/"
 #: Letters from here on (none of Latin, Greek or Cyrillic) are left to the library's own tables of what is a letter.
@@ -132,14 +132,14 @@ class Encoder:
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, n)
 
 
-def text_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Pieces of a batch of about SLICE_BYTES text bytes, one row at least, and their texts (null: empty)."""
+def text_slices(batch: pa.RecordBatch, most: int | None = None) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Pieces of a batch of about `most` (SLICE_BYTES) text bytes, one row at least, and their texts (null: empty)."""
     texts = batch.column("text").fill_null("")
     ends = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
     at = 0
     while at < len(texts):
         before = int(ends[at - 1]) if at else 0
-        end = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        end = max(at + 1, int(np.searchsorted(ends, before + (most or SLICE_BYTES), "right")))
         yield batch.slice(at, end - at), texts.slice(at, end - at)
         at = end
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from riskloom.llm.bpe import text_slices, vocabulary_path
 from riskloom.llm.common import doc_texts, record, table, tidy
 
-MARK, LONG, TOGETHER = "▁", 48, 40_000
+MARK, LONG, TOGETHER, SLICE_BYTES = "▁", 48, 40_000, 1 << 24
 UNKNOWN = -25.0
 
 _COUNT = pa.schema([("doc_id", pa.int64()), ("n_pretokens", pa.int64()), ("n_tokens", pa.int64()), ("score", pa.float64())])
@@ -222,7 +222,7 @@ def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
 def _used(path: str, scores, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count, total = counter(path), None
     for batch in batches:
-        for _, texts in text_slices(batch):
+        for _, texts in text_slices(batch, SLICE_BYTES):
             _, code, words = _words(texts)
             used = count.count(words, scores.value, np.bincount(code, minlength=len(words)).astype(np.float64))[2]
             total = used if total is None else total + used
@@ -234,7 +234,7 @@ def _used(path: str, scores, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 def _counted(path: str, scores, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     count = counter(path)
     for batch in batches:
-        for rows, texts in text_slices(batch):
+        for rows, texts in text_slices(batch, SLICE_BYTES):
             first, code, words = _words(texts)
             tokens, best, _ = count.count(words, scores.value)
             n = np.diff(first)
