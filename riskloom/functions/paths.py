@@ -34,14 +34,40 @@ def glob_pattern(glob: str) -> str:
     return "^" + "".join(out) + "$"
 
 
+#: Parts of paths of security-critical code (fixed values).
+SECURITY_PATHS = ["Http2", "Kestrel", "TLS", "SSL", "Crypto", "Auth", "Uri", "Parsing", "Validation", "Security", "Hmac", "Hash", "Decrypt", "Encrypt", "Certificate", "Token", "Key"]
+
+
+def file_name(path: Column) -> Column:
+    return F.substring_index(F.translate(path, "\\", "/"), "/", -1)
+
+
 def is_test_file(path: Column) -> Column:
-    p = F.lower(normal_path(path))
-    return p.rlike(r"(^|/)(tests?|specs?|benchmarks?|samples?|mocks?|fixtures?|[^/]*\.tests?|[^/]*\.benchmarks?)/") | p.rlike(r"(tests?|specs?|mock|benchmarks?)\.[^./]+$")
+    """By the folders' and the file's names, in their own case where a capital marks a word."""
+    p = F.translate(path, "\\", "/")
+    folder = r"(?:(?i:specs?|test[^/]*|[^/]*[^/\p{L}]tests?|[^/]*benchmarks?|samples?|examples?|mocks?|fakes?)|[^/]*Tests?)"
+    stem = F.when(F.contains(file_name(path), F.lit(".")), F.regexp_replace(file_name(path), r"\.[^.]*$", "")).otherwise(file_name(path))
+    return p.rlike(rf"(?:^|/){folder}/") | stem.rlike(r"^(?i:test)|Tests?$|(?i:spec|benchmarks?)$")
 
 
 def is_generated_file(path: Column) -> Column:
-    p = F.lower(normal_path(path))
-    return p.rlike(r"(^|/)(generated|obj)/") | p.rlike(r"(\.g\.cs|\.g\.i\.cs|\.designer\.cs|assemblyinfo\.cs|\.net\d+\.\d+\.cs)$")
+    p = F.translate(path, "\\", "/")
+    return p.rlike(r"(?i)/(generated|obj)/|(\.g|\.g\.i|\.designer|\.net\d+\.\d+|\.netstandard\d+\.\d+)\.cs$") | (F.lower(file_name(path)) == "assemblyinfo.cs")
+
+
+def is_infrastructure_file(path: Column) -> Column:
+    """Where services are set up: by file name, or by a collection of services in the path."""
+    name = F.lower(file_name(path))
+    return name.isin("program.cs", "startup.cs") | name.endswith("extensions.cs") | F.contains(F.lower(path), F.lit("servicecollection"))
+
+
+def is_composition_file(path: Column) -> Column:
+    """The wider test for dependency injection: folders count too."""
+    return F.lower(F.translate(path, "\\", "/")).rlike(r"startup|servicecollection|dependencyinjection|dicontainer|extensions\.cs|/infrastructure/|/configuration/|program\.cs|composition")
+
+
+def is_security_critical(path: Column) -> Column:
+    return F.coalesce(path, F.lit("")).rlike("(?i)" + "|".join(SECURITY_PATHS))
 
 
 def passes_sensitivity(severity: Column, confidence: Column, threshold: str) -> Column:
