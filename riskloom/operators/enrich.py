@@ -5,13 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Keyword groups of review comments, in order: rule, keywords (the first that occurs counts), confidence.
+#: Keyword groups of review comments, in order: rule, keywords (the first that occurs counts), confidence (fixed values).
 TAXONOMY = [
-    ("GCI0016", ["deadlock", "race condition", "thread safe"], 0.7),
-    ("GCI0006", ["null check", "null reference", "edge case"], 0.65),
-    ("GCI0012", ["sql injection", "vulnerab", "security"], 0.7),
-    ("GCI0003", ["breaking change", "behavior change", "regression"], 0.6),
-    ("GCI0041", ["add a test", "missing test", "coverage"], 0.55),
+    ("GCI0016", ["race condition", "thread safe", "concurrent access", "not thread-safe", "lock contention"], 0.7),
+    ("GCI0016", ["deadlock", "async over sync", ".result", ".wait()", "blocking call", "configureawait"], 0.7),
+    ("GCI0043", ["null reference", "nullreferenceexception", "can this be null", "null check missing"], 0.65),
+    ("GCI0024", ["memory leak", "not disposed", "should be disposed", "idisposable", "using statement"], 0.65),
+    ("GCI0012", ["security", "injection", "xss", "csrf", "authentication bypass", "authorization"], 0.7),
+    ("GCI0004", ["breaking change", "backwards compat", "backward compat", "api break", "semver"], 0.65),
+    ("GCI0010", ["hardcoded", "hard-coded", "magic number", "magic string", "should use config"], 0.6),
+    ("GCI0032", ["unhandled exception", "exception propagation", "missing catch", "uncaught"], 0.65),
+    ("GCI0044", ["performance", "hot path", "n+1", "allocation", "boxing", "linq in loop"], 0.6),
+    ("GCI0029", ["pii", "personal data", "gdpr", "sensitive data", "user data in log"], 0.7),
+    ("GCI0041", ["missing test", "needs test", "add a test", "no test coverage", "untested"], 0.65),
+    ("GCI0003", ["behavioral change", "side effect", "unexpected behavior", "regression"], 0.6),
+    ("GCI0049", ["floating point", "float equality", "double equality", "use epsilon"], 0.65),
+    ("GCI0021", ["schema change", "migration", "db schema", "database schema", "column removed"], 0.7),
 ]
 
 
@@ -26,11 +35,12 @@ def taxonomy_hits(df: DataFrame, key: str, text: Column, groups: list[tuple[str,
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy(key, "rule_id").orderBy("o"))).filter("rn = 1").drop("rn", "o")
 
 
-def social_score(minutes: Column, reviewers: Column, reviews: Column, is_bot: Column) -> Column:
-    """From one half: quick merges and bots lower it, reviewers raise it; between 0 and 1."""
-    time = F.when(minutes < 0, 0.0).when(minutes < 5, -0.3).when(minutes < 60, -0.1).when(minutes > 1440, 0.1).otherwise(0.0)
-    people = F.when(reviewers >= 3, 0.2).when(reviewers >= 1, 0.1).otherwise(-0.1)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + time + people + F.when(reviews >= 5, 0.1).otherwise(0.0) - F.when(is_bot, 0.2).otherwise(0.0)))
+def social_score(minutes: Column, reviewers: Column, reviews: Column, bot_merged: Column) -> Column:
+    """From one half, by time to merge (negative: unknown), human reviewers, number of reviews and merge by a bot; between 0 and 1."""
+    time = F.when((minutes >= 0) & (minutes < 10), -0.3).when(minutes >= 60, 0.15).otherwise(0.0)
+    people = F.when(reviewers == 0, -0.25).when(reviewers == 1, 0.1).otherwise(0.2)
+    count = F.when(reviews == 0, -0.1).when(reviews >= 3, 0.1).otherwise(0.0)
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(0.5) + time + people + count - F.when(bot_merged, 0.15).otherwise(0.0)))
 
 
 def experience_tier(commits: Column) -> Column:

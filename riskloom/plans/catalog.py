@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import paths
 from riskloom.operators import delivery, enrich, retrieval, rules, scoring
-from riskloom.sources.stores import read_parquet
+from riskloom.plans.registry import QUERIES, SQL, query
+from riskloom.plans.registry import table as _t
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 FLAGSHIP = "flagship"
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
-
-
 @query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (
   SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders WHERE upper(o_orderstatus) = 'F') WHERE rn = 1""")
 def latest_run(spark, sf_dir):
@@ -320,3 +303,6 @@ def rule_findings(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Diff text to lines, findings, and the ranked delivery."""
     return delivery.deliver(rules.evaluate(_document_diffs(spark, sf_dir)))
+
+
+from riskloom.plans import corpus_queries  # noqa: E402, F401  (registers its queries)

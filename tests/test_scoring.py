@@ -20,7 +20,7 @@ def test_entropy(spark):
 def test_enrichers(spark):
     df = spark.createDataFrame([("Fixes #12 and closes a/b#7, fixed #12",)], "t string")
     assert df.select(enrich.issue_references(df.t)).first()[0] == [7, 12]
-    assert enrich.taxonomy_hits(spark.createDataFrame([(1, "A deadlock, no null check"), (2, None)], "k int, t string"), "k", F.col("t")).count() == 2
+    assert enrich.taxonomy_hits(spark.createDataFrame([(1, "A deadlock, null check missing"), (2, None)], "k int, t string"), "k", F.col("t")).count() == 2
 
 
 def test_logs_and_reports(spark, tmp_path):
