@@ -338,3 +338,82 @@ def stage_summary(stages: list[tuple[str, DataFrame]]) -> DataFrame:
     """Rows after each stage of a delivery, in order."""
     counts = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("step"), F.lit(name).alias("stage"), "n") for k, (name, df) in enumerate(stages)]
     return reduce(DataFrame.unionByName, counts)
+
+
+#: Review comments' keywords, in order: rule, keywords, confidence (fixed values).
+COMMENT_RULES = [
+    ("GCI0041", ["needs tests", "add test", "missing test", "no test", "untested"], 0.65),
+    ("GCI0006", ["null", "can this be null", "null reference", "nullreferenceexception", "nullable"], 0.6),
+    ("GCI0004", ["breaking change", "backwards compat", "backward compat", "semver", "api break"], 0.65),
+    ("GCI0016", [".result", ".wait()", "async", "blocking", "deadlock", "configureawait", "socket", "thread pool", "concurrency", "cpu bound"], 0.65),
+    ("GCI0010", ["hardcoded", "hard-coded", "magic string", "magic number"], 0.6),
+    ("GCI0032", ["exception", "catch", "swallowing", "ignored exception"], 0.6),
+    ("GCI0012", ["secret", "password", "credential", "api key", "api_key"], 0.75),
+    ("GCI0022", ["idempotent", "idempotency", "idempotency key", "duplicate request", "retry safe", "insert duplicate", "upsert"], 0.65),
+    ("GCI0021", ["migration", "schema change", "db migration", "database migration"], 0.65),
+]
+#: Strategies on added lines: rule, pattern, confidence.
+STRATEGIES = [
+    ("GCI0016", r"\.GetAwaiter\(\)\.GetResult\(\)|\.Wait\(\)|(Task|Async).*\.Result|lock ?\(this\)", 0.65),
+    ("GCI0012", r"MD5\.Create|SHA1\.Create|DESCryptoServiceProvider|Process\.Start\(", 0.7),
+    ("GCI0032", r"throw new (?!ArgumentNullException|ArgumentException|NotImplementedException)", 0.6),
+    ("GCI0006", r"\w\.Value\b(?!\?)", 0.55),
+    ("GCI0043", r"\w!\.|#nullable disable", 0.55),
+    ("GCI0015", r"(?i)insert ignore|insert or ignore|on conflict do nothing", 0.6),
+]
+
+
+def strategy_labels(added: DataFrame, key: str) -> DataFrame:
+    """added: key, text (one added line a row). One positive label for each strategy that a line bears out."""
+    hits = [F.bool_or(F.col("text").rlike(p)).alias(f"s{k}") for k, (_, p, _) in enumerate(STRATEGIES)]
+    by = added.groupBy(key).agg(*hits)
+    found = F.array_compact(F.array(*[F.when(F.col(f"s{k}"), F.struct(F.lit(r).alias("rule_id"), F.lit(c).alias("confidence"))) for k, (r, _, c) in enumerate(STRATEGIES)]))
+    return by.select(key, F.explode(found).alias("f")).select(key, "f.*")
+
+
+def coordinated_labels(labels: DataFrame, key: str, least: dict[str, float], turned: dict[str, float], by: str = "GCI0016") -> DataFrame:
+    """labels: key, rule_id, should_trigger, confidence. Where `by` triggers, positive labels of `least` are at least so sure,
+    and negative ones of `turned` become positive."""
+    present = F.max(F.when((F.col("rule_id") == by) & (F.col("should_trigger") == 1), 1).otherwise(0)).over(Window.partitionBy(key)) == 1
+    out = labels.withColumn("_on", present)
+    floor = F.coalesce(*[F.when(F.col("rule_id") == r, F.lit(c)) for r, c in least.items()], F.lit(0.0))
+    turn = F.coalesce(*[F.when(F.col("rule_id") == r, F.lit(c)) for r, c in turned.items()], F.lit(None).cast("double"))
+    positive = F.col("should_trigger") == 1
+    sure = F.when(F.col("_on") & positive, F.greatest("confidence", floor)).when(F.col("_on") & ~positive & turn.isNotNull(), turn).otherwise(F.col("confidence"))
+    fires = F.when(F.col("_on") & ~positive & turn.isNotNull(), 1).otherwise(F.col("should_trigger"))
+    return out.select(key, "rule_id", fires.alias("should_trigger"), sure.alias("confidence"))
+
+
+def migration_signals(added: DataFrame, key: str) -> DataFrame:
+    """added: key, path, text. Six signs of a schema migration and their confidence; a snapshot alone is detected at 0."""
+    path, t = F.col("path"), F.col("text")
+    in_folder, snapshot = F.contains(F.lower(F.concat(F.lit("/"), path)), F.lit("/migrations/")), F.lower(path).endswith("contextmodelsnapshot.cs")
+    signs = {
+        "migration_file": in_folder & F.lower(path).endswith(".cs") & ~snapshot, "snapshot_file": snapshot, "sql_file": F.lower(path).endswith(".sql"), "migration_class": F.contains(t, F.lit("public partial class")) & F.contains(t, F.lit("Migration")),
+        "builder": F.contains(t, F.lit("migrationBuilder.")), "ddl": t.rlike(r"(?i)\b(create|alter|drop)\s+(table|column|index)\b"),
+    }
+    by = added.groupBy(key).agg(*[F.coalesce(F.bool_or(s), F.lit(False)).alias(n) for n, s in signs.items()])
+    c = F.col
+    sure = F.when(c("migration_file") & (c("builder") | c("migration_class")), 0.95).when(c("migration_file") | (c("sql_file") & c("ddl")), 0.85).when(c("builder") | c("migration_class") | c("ddl"), 0.75).otherwise(0.0)
+    return by.withColumn("confidence", sure).withColumn("detected", (sure > 0) | c("snapshot_file"))
+
+
+def stage_order(depends: dict[str, list[str]]) -> list[str]:
+    """Stages after all that they depend on, otherwise as given; raises on a cycle or an unknown stage."""
+    unknown = {d for ds in depends.values() for d in ds} - set(depends)
+    if unknown:
+        raise ValueError(f"unknown stages: {sorted(unknown)}")
+    out: list[str] = []
+    while len(out) < len(depends):
+        ready = [s for s, ds in depends.items() if s not in out and all(d in out for d in ds)]
+        if not ready:
+            raise ValueError(f"a cycle among {sorted(set(depends) - set(out))}")
+        out.append(ready[0])
+    return out
+
+
+def enrich_findings(findings: DataFrame, stages: dict[str, tuple[list[str], object]]) -> DataFrame:
+    """Applies stages (name: what it depends on, and a function from findings to findings) in their order."""
+    for name in stage_order({k: d for k, (d, _) in stages.items()}):
+        findings = stages[name][1](findings)
+    return findings

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_CANDIDATES = 10_000
 #: Keyword groups of review comments, in order: rule, keywords (the first that occurs counts), confidence (fixed values).
 TAXONOMY = [
     ("GCI0016", ["race condition", "thread safe", "concurrent access", "not thread-safe", "lock contention"], 0.7),
@@ -59,7 +60,19 @@ def issue_references(text: Column) -> Column:
 
 
 def closest(words: DataFrame, candidates: DataFrame, most: int = 2) -> DataFrame:
-    """words: word; candidates: candidate (a small vocabulary of commands). The nearest candidate within `most` edits."""
+    """words: word; candidates: candidate (a vocabulary of MOST_CANDIDATES commands at most). The nearest within `most` edits."""
+    if candidates.distinct().limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
     d = F.levenshtein(F.lower("word"), F.lower("candidate"), most)
     near = words.join(F.broadcast(candidates.distinct()), d >= 0).withColumn("distance", d)
     return near.withColumn("rn", F.row_number().over(Window.partitionBy("word").orderBy("distance", "candidate"))).filter("rn = 1").drop("rn")
+
+
+def closest_n(words: DataFrame, candidates: DataFrame, n: int, most: int = 2) -> DataFrame:
+    """Like closest, but the first n that differ from the word."""
+    if candidates.distinct().limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
+        raise ValueError(f"more than {MOST_CANDIDATES} candidates")
+    d = F.levenshtein(F.lower("word"), F.lower("candidate"), most)
+    near = words.join(F.broadcast(candidates.distinct()), d > 0).withColumn("distance", d)
+    rank = F.row_number().over(Window.partitionBy("word").orderBy("distance", "candidate"))
+    return near.withColumn("rank", rank).filter(F.col("rank") <= n)

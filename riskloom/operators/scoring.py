@@ -54,7 +54,7 @@ def scorecard(outcomes: DataFrame, fixtures: DataFrame, usefulness: DataFrame) -
     count = lambda s: F.count_if(F.col("status") == s)
     by = outcomes.join(fixtures.select("fixture_id", "tier"), "fixture_id").groupBy("rule_id", "tier")
     out = by.agg(*[count(s).alias(s.lower()) for s in ("TP", "FP", "FN", "TN", "Unknown")], F.countDistinct(F.when(F.col("status").isin("TP", "FP", "Unknown"), F.col("fixture_id"))).alias("fired_fixtures"))
-    out = out.join(F.broadcast(tiers), "tier").join(usefulness.groupBy("rule_id").agg(F.avg("usefulness").alias("avg_usefulness")), "rule_id", "left")
+    out = out.join(tiers, "tier").join(usefulness.groupBy("rule_id").agg(F.avg("usefulness").alias("avg_usefulness")), "rule_id", "left")
     zero = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
     c = F.col
     return out.select(

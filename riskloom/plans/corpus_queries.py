@@ -517,3 +517,46 @@ _expected("diff_tags", "VARCHAR", [("+await LoadAsync();", "async"), ("+public i
 _expected("polarity_flips", "BOOLEAN", [("IsA(x)|!IsA(x)", 1), ("a == false|a", 1), ("Check(x, y: false)|Check(x, y: true)", 1), ("IsA(x)|IsA(y)", 0), ("a != true|!a", 0)], lambda x: text.is_polarity_flip(F.substring_index(x, "|", 1), F.substring_index(x, "|", -1)))
 _expected("predicate_symbols", "VARCHAR", [("IsReady && Load(x)", "IsReady,Load("), ("Is(x) || IsOk(y)", "IsOk,Is(,IsOk("), ("a > b", "")], lambda x: F.array_join(text.predicate_symbols(x), ","))
 _expected("severity_settings", "INT", [("block|error", 3), ("|warning", 2), ("|suggestion", 1), ("none|error", 0), ("|", 1), ("bad|bad", 1)], lambda x: text.severity_setting(F.substring_index(x, "|", 1), F.substring_index(x, "|", -1), F.lit(1)))
+
+
+# labelling -------------------------------------------------------------------------------------------------------------
+
+_COMMENT_SQL = " UNION ALL ".join(f"SELECT id, {k} AS o, '{rule}' AS rule_id, {_first_keyword(words)} AS keyword, {sure}::DOUBLE AS confidence FROM h" for k, (rule, words, sure) in enumerate(corpus.COMMENT_RULES))
+
+
+@query(f"""WITH h AS (SELECT id, lower(coalesce(t, '')) AS t FROM {values(_COMMENTS, "id, t")}), g AS ({_COMMENT_SQL})
+SELECT id, rule_id, keyword, confidence FROM (SELECT *, row_number() OVER (PARTITION BY id, rule_id ORDER BY o) AS rn FROM g WHERE keyword IS NOT NULL) WHERE rn = 1""")
+def comment_labels(spark, sf_dir):
+    return enrich.taxonomy_hits(spark.createDataFrame(_COMMENTS, "id int, t string"), "id", c("t"), corpus.COMMENT_RULES)
+
+
+_ADDED = [(1, "var x = LoadAsync().Result;"), (1, "var y = m.Value;"), (2, "var h = MD5.Create();"), (2, "throw new ArgumentNullException();"), (3, "throw new WidgetException();"), (3, "INSERT IGNORE INTO t"), (4, "plain"), (5, "a!.b();")]
+
+
+@query("SELECT id, rule_id, confidence::DOUBLE AS confidence FROM " + values([(1, "GCI0016", 0.65), (1, "GCI0006", 0.55), (2, "GCI0012", 0.7), (3, "GCI0032", 0.6), (3, "GCI0015", 0.6), (5, "GCI0043", 0.55)], "id, rule_id, confidence"))
+def strategy_labels(spark, sf_dir):
+    return corpus.strategy_labels(spark.createDataFrame(_ADDED, "id int, text string"), "id")
+
+
+@query("""WITH l AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'GCI0016' WHEN 'O' THEN 'GCI0039' ELSE 'GCI0044' END AS rule_id, CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS s FROM orders),
+p AS (SELECT *, max(CASE WHEN rule_id = 'GCI0016' AND s = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey) AS o FROM l)
+SELECT o_custkey, rule_id, CASE WHEN o = 1 AND s = 0 AND rule_id <> 'GCI0016' THEN 1 ELSE s END AS should_trigger, CASE WHEN o = 1 AND s = 1 THEN CASE rule_id WHEN 'GCI0039' THEN 0.8 WHEN 'GCI0044' THEN 0.75 ELSE 0.6 END
+  WHEN o = 1 AND rule_id = 'GCI0039' THEN 0.7 WHEN o = 1 AND rule_id = 'GCI0044' THEN 0.65 ELSE 0.6 END::DOUBLE AS confidence FROM p""")
+def coordinated_labels(spark, sf_dir):
+    rule = F.when(c("o_orderstatus") == "F", "GCI0016").when(c("o_orderstatus") == "O", "GCI0039").otherwise("GCI0044")
+    labels = _t(spark, sf_dir, "orders").select("o_custkey", rule.alias("rule_id"), (c("o_totalprice") > 250000).cast("int").alias("should_trigger"), F.lit(0.6).alias("confidence"))
+    return corpus.coordinated_labels(labels, "o_custkey", {"GCI0039": 0.8, "GCI0044": 0.75}, {"GCI0039": 0.7, "GCI0044": 0.65})
+
+
+_MIGRATED = [(1, "src/Migrations/M1.cs", "migrationBuilder.AddColumn("), (2, "db/a.sql", "ALTER TABLE t ADD c int"), (3, "src/A.cs", "create table x"), (4, "src/FooContextModelSnapshot.cs", "b.Property"), (5, "src/A.cs", "var x = 1;"), (6, "Migrations/M2.cs", "int x;")]
+
+
+@query("SELECT id, confidence::DOUBLE AS confidence, CAST(d AS BOOLEAN) AS detected FROM " + values([(1, 0.95, 1), (2, 0.85, 1), (3, 0.75, 1), (4, 0.0, 1), (5, 0.0, 0), (6, 0.85, 1)], "id, confidence, d"))
+def migration_signals(spark, sf_dir):
+    return corpus.migration_signals(spark.createDataFrame(_MIGRATED, "id int, path string, text string"), "id").select("id", "confidence", "detected")
+
+
+@query("SELECT n_nationkey, candidate, distance, CAST(rn AS INT) AS rank FROM (SELECT a.n_nationkey, b.n_name AS candidate, CAST(levenshtein(lower(a.n_name), lower(b.n_name)) AS INT) AS distance, row_number() OVER (PARTITION BY a.n_name ORDER BY levenshtein(lower(a.n_name), lower(b.n_name)), b.n_name) AS rn FROM nation a, nation b WHERE levenshtein(lower(a.n_name), lower(b.n_name)) BETWEEN 1 AND 2) WHERE rn <= 3")
+def closest_three(spark, sf_dir):
+    n = _t(spark, sf_dir, "nation")
+    return enrich.closest_n(n.select("n_nationkey", c("n_name").alias("word")), n.select(c("n_name").alias("candidate")), 3).select("n_nationkey", "candidate", "distance", "rank")
