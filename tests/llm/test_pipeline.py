@@ -89,7 +89,11 @@ def test_stages_on_awkward_rows_against_brute_force(spark):
         w = _words(t)
         grams |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
     sizes = {len(g) for g in grams}
-    hit = lambda t: any(tuple(_words(t)[i : i + n]) in grams for n in sizes for i in range(len(_words(t)) - n + 1))
+
+    def hit(text):
+        w = _words(text)
+        return any(tuple(w[i : i + n]) in grams for n in sizes for i in range(len(w) - n + 1))
+
     clean = corpus_pipeline.decontamination_stage(spark, docs, SF)
     assert sorted(map(row, clean.collect())) == sorted((str(d), str(t)) for d, t in rows if not hit(t)) and clean.columns == docs.columns
     sets = [(lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())((t or "").encode().lower().split()) for _, t in rows]
