@@ -114,7 +114,7 @@ def test_snapshots(spark, tmp_path):
 
 def test_rules_cut_and_deal_a_diff_once(spark):
     plan = catalog.QUERIES["rule_findings"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("Generate ") == 2
+    assert plan.count("Exchange") == 1 and "Join" not in plan and plan.count("Generate ") == 3
 
 
 def test_empty_and_null_diffs(spark):
