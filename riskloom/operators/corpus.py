@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.paths import file_name, normal_path
+
 #: Labels of fixtures in the order of their tests (fixed values).
 DEPENDABOT, GHOST, SILENT, UNVALIDATED, HOT, STANDARD, INSUFFICIENT = (
     "DEPENDABOT_FIX", "HIGH_RISK_GHOST", "SILENT_LOGIC_CHANGE", "UNVALIDATED_BEHAVIORAL_RISK", "HOT_PATH_UNREVIEWED", "STANDARD_CHANGE", "INSUFFICIENT_DATA",
@@ -18,6 +20,7 @@ DEPENDABOT, GHOST, SILENT, UNVALIDATED, HOT, STANDARD, INSUFFICIENT = (
 LABEL_RULES = [(DEPENDABOT, "GCI0012"), (GHOST, "GCI0014"), (SILENT, "GCI0036"), (UNVALIDATED, "GCI0003"), (HOT, "GCI0003")]
 WIP_WORDS = ["wip", "work in progress", "draft", "do not merge", "dnm", "temp", "hack", "fixme", "todo"]
 SEVERITIES = ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
+MOST_RULES = 100_000
 LIBRARY_SILENT = ["GCI0022", "GCI0038", "GCI0046", "GCI0024", "GCI0035"]
 
 
@@ -197,8 +200,12 @@ def advisories(packages: DataFrame, known: DataFrame, key: str) -> DataFrame:
 
 
 def negative_labels(fixtures: DataFrame, rules: DataFrame, positive: DataFrame) -> DataFrame:
-    """fixtures: fixture_id; rules: rule_id (a fixed short list); positive: both. Rules without a positive label, at 0.4."""
-    asked = fixtures.select("fixture_id", F.explode(F.lit([r for (r,) in rules.select("rule_id").distinct().limit(1000).collect()])).alias("rule_id"))
+    """fixtures: fixture_id; rules: rule_id; positive: both. Rules without a positive label, at 0.4. Raises if there are more
+    than MOST_RULES rules: each fixture is asked about each rule."""
+    known = [r for (r,) in rules.select("rule_id").distinct().limit(MOST_RULES + 1).collect()]
+    if len(known) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules")
+    asked = fixtures.select("fixture_id", F.explode(F.lit(known).cast("array<string>")).alias("rule_id"))
     return asked.join(positive.select("fixture_id", "rule_id").distinct(), ["fixture_id", "rule_id"], "left_anti").select("fixture_id", "rule_id", F.lit(0).alias("should_trigger"), F.lit(0.4).alias("confidence"))
 
 
@@ -209,16 +216,19 @@ def path_correlation(fired: DataFrame, commented: DataFrame, positive: DataFrame
 
 
 def composite_label(signals: DataFrame) -> DataFrame:
-    """signals: one row a fixture with the enrichers' columns (null: not enriched). label and confidence, the first test wins."""
+    """signals: one row a fixture with the enrichers' columns (null: not enriched; nlp may be absent). label and confidence, the
+    first test wins. Counts of no alert are no data, but for semgrep, which says that it ran."""
     x = F.col
+    if "nlp" not in signals.columns:
+        signals = signals.withColumn("nlp", F.lit(None).cast("boolean"))
     yes = lambda c: F.coalesce(x(c), F.lit(False))
     n = lambda c: F.coalesce(x(c), F.lit(0))
     score = x("social_score")
     scanner, known = (n("sonar") + n("codeql") + n("semgrep")) > 0, score.isNotNull()
     low, high = F.coalesce(score < 0.3, F.lit(False)), F.coalesce(score >= 0.7, F.lit(False))
     below = lambda limit: F.coalesce(score < limit, F.lit(False))
-    data = ["dependabot", "social_score", "sonar", "codeql", "semgrep", "structural_score", "advisories", "hotspot", "test_gap", "entropy", "migration"]
-    none = reduce(lambda a, b: a & b, [x(c).isNull() for c in data])
+    data = ["dependabot", "social_score", "semgrep", "structural_score", "advisories", "hotspot", "nlp", "test_gap", "entropy", "migration"]
+    none = reduce(lambda a, b: a & b, [x(c).isNull() for c in data], (n("sonar") == 0) & (n("codeql") == 0))
     label = (
         F.when(none, INSUFFICIENT).when(yes("dependabot"), DEPENDABOT).when(yes("migration") | (n("advisories") > 0) | scanner, GHOST)
         .when(yes("sensitive_path") & (n("structural_score") >= 0.6) & below(0.5), HOT).when((n("hotspot") >= 0.7) & below(0.5), HOT).when((n("entropy") >= 0.8) & below(0.4), HOT)
@@ -233,10 +243,13 @@ def composite_label(signals: DataFrame) -> DataFrame:
     return out.select("fixture_id", "label", sure.alias("confidence"))
 
 
-def expected_of_labels(labels: DataFrame, known: DataFrame) -> DataFrame:
-    """labels: fixture_id, label, confidence. The rules of the labels that known (fixture_id, rule_id) lacks."""
+def expected_of_labels(labels: DataFrame, known: DataFrame, migrations: DataFrame | None = None) -> DataFrame:
+    """labels: fixture_id, label, confidence. The rules of the labels that known (fixture_id, rule_id) lacks; a detected
+    migration (fixture_id, confidence) gives GCI0021 whatever its label."""
     rules = F.create_map(*[F.lit(x) for pair in LABEL_RULES for x in pair])
     new = labels.select("fixture_id", F.try_element_at(rules, F.col("label")).alias("rule_id"), "confidence").filter("rule_id is not null")
+    if migrations is not None:
+        new = new.unionByName(migrations.select("fixture_id", F.lit("GCI0021").alias("rule_id"), "confidence"))
     return new.join(known.select("fixture_id", "rule_id").distinct(), ["fixture_id", "rule_id"], "left_anti")
 
 
@@ -327,10 +340,14 @@ def repo_domain(override: Column, web_projects: Column, library_projects: Column
     return F.coalesce(configured, F.when(web_projects > 0, "web").when((library_projects > 0) & ~web_signal, "library").when(web_signal, "web").otherwise("unknown"))
 
 
-def semantic_boost(findings: DataFrame, operations: DataFrame) -> DataFrame:
-    """Findings (id, rule_id, confidence, file_path, line) of four rules become sure where a risky operation bears them out."""
-    met = operation_lookup(findings, operations)
-    raised = F.col("rule_id").isin("GCI0058", "GCI0059", "GCI0003", "GCI0007") & F.col("op_id").isNotNull()
+def semantic_boost(findings: DataFrame, operations: DataFrame, least: float = 0.85) -> DataFrame:
+    """Findings (id, rule_id, confidence, file_path, line) of four rules become sure where a changed condition (operations:
+    file_path, line, kind, risk) of that risk stands on their own line; paths are normalised and compared without case."""
+    at = lambda path: F.lower(normal_path(path))
+    risky = operations.filter((F.col("kind") == "ConditionalModified") & (F.col("risk") >= least))
+    risky = risky.select(at(F.col("file_path")).alias("_path"), F.col("line").alias("_line")).distinct().withColumn("_hit", F.lit(True))
+    met = findings.join(risky, (at(F.col("file_path")) == F.col("_path")) & (F.col("line") == F.col("_line")), "left")
+    raised = F.upper("rule_id").isin("GCI0058", "GCI0059", "GCI0003", "GCI0007") & F.col("_hit").isNotNull() & (F.col("file_path") != "")
     return met.withColumn("confidence", F.when(raised, F.lit(2)).otherwise(F.col("confidence"))).select(findings.columns)
 
 
@@ -384,17 +401,23 @@ def coordinated_labels(labels: DataFrame, key: str, least: dict[str, float], tur
     return out.select(key, "rule_id", fires.alias("should_trigger"), sure.alias("confidence"))
 
 
+#: Parts of lines that change a schema, in any case, and annotations of a mapped one (fixed values).
+DDL = ["CREATE TABLE", "ALTER TABLE", "DROP TABLE", "DROP COLUMN", "ADD COLUMN", "ALTER COLUMN", "CREATE INDEX", "DROP INDEX"]
+MAPPED = ["[Table(", "[Column(", "[ForeignKey(", "[Index("]
+
+
 def migration_signals(added: DataFrame, key: str) -> DataFrame:
-    """added: key, path, text. Six signs of a schema migration and their confidence; a snapshot alone is detected at 0."""
-    path, t = F.col("path"), F.col("text")
-    in_folder, snapshot = F.contains(F.lower(F.concat(F.lit("/"), path)), F.lit("/migrations/")), F.lower(path).endswith("contextmodelsnapshot.cs")
+    """added: key, path, text (null for a file without added lines). Signs of a schema migration and their confidence: the
+    migration's own file, then SQL, then code; a snapshot alone is detected at 0."""
+    path, t = F.translate("path", "\\", "/"), F.col("text")
+    any_of = lambda text, terms: reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in terms])
     signs = {
-        "migration_file": in_folder & F.lower(path).endswith(".cs") & ~snapshot, "snapshot_file": snapshot, "sql_file": F.lower(path).endswith(".sql"), "migration_class": F.contains(t, F.lit("public partial class")) & F.contains(t, F.lit("Migration")),
-        "builder": F.contains(t, F.lit("migrationBuilder.")), "ddl": t.rlike(r"(?i)\b(create|alter|drop)\s+(table|column|index)\b"),
+        "migration_file": F.contains(F.lower(path), F.lit("/migrations/")) & file_name(path).rlike(r"^\d{14}_.*\.cs$"), "snapshot_file": F.lower(path).endswith("contextmodelsnapshot.cs"), "sql_file": F.lower(path).endswith(".sql"),
+        "migration_code": (F.contains(t, F.lit("public partial class")) & F.contains(t, F.lit("Migration"))) | F.contains(t, F.lit("migrationBuilder.")), "ddl": any_of(F.upper(t), DDL), "annotation": any_of(t, MAPPED),
     }
     by = added.groupBy(key).agg(*[F.coalesce(F.bool_or(s), F.lit(False)).alias(n) for n, s in signs.items()])
     c = F.col
-    sure = F.when(c("migration_file") & (c("builder") | c("migration_class")), 0.95).when(c("migration_file") | (c("sql_file") & c("ddl")), 0.85).when(c("builder") | c("migration_class") | c("ddl"), 0.75).otherwise(0.0)
+    sure = F.when(c("migration_file"), 0.95).when(c("sql_file") | c("ddl"), 0.85).when(c("migration_code") | c("annotation"), 0.75).otherwise(0.0)
     return by.withColumn("confidence", sure).withColumn("detected", (sure > 0) | c("snapshot_file"))
 
 

@@ -215,11 +215,14 @@ def upsert_labels(spark, sf_dir):
     return scoring.upsert(*_two_label_sets(spark, sf_dir), ["doc_id"])
 
 
-@query("""SELECT doc_id, quality AS should_trigger, CASE WHEN doc_id % 3 = 0 THEN 'Human' ELSE 'Heuristic' END AS label_source, 0.5::DOUBLE AS confidence FROM labels WHERE doc_id % 5 <> 0
-UNION ALL SELECT doc_id, toxic, 'LlmReview', 0.8::DOUBLE FROM labels WHERE doc_id % 2 = 0 AND doc_id % 5 = 0""")
+@query("""SELECT doc_id, quality AS should_trigger, 'Heuristic' AS label_source, 0.5::DOUBLE AS confidence FROM labels
+UNION ALL SELECT doc_id, CAST(n_chars > 2000 AS INT), 'Length', 0.3::DOUBLE FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def insert_ignore(spark, sf_dir):
-    old, new = _two_label_sets(spark, sf_dir)
-    return scoring.insert_ignore(old.filter("doc_id % 5 <> 0"), new, ["doc_id"])
+    """Labels stand; a label by length is new only where a document has none."""
+    c = F.col
+    old = _t(spark, sf_dir, "labels").select("doc_id", c("quality").alias("should_trigger"), F.lit("Heuristic").alias("label_source"), F.lit(0.5).alias("confidence"))
+    new = _t(spark, sf_dir, "documents").select("doc_id", (c("n_chars") > 2000).cast("int").alias("should_trigger"), F.lit("Length").alias("label_source"), F.lit(0.3).alias("confidence"))
+    return scoring.insert_ignore(old, new, ["doc_id"])
 
 
 @query("""WITH h AS (SELECT event_type, count(*) FILTER (event_id % 2 = 0) AS n0, count(*) FILTER (event_id % 2 = 1) AS n1, count(DISTINCT CASE WHEN event_id % 2 = 0 THEN user_id END) AS u0, count(DISTINCT CASE WHEN event_id % 2 = 1 THEN user_id END) AS u1 FROM events GROUP BY 1)

@@ -63,13 +63,13 @@ def operation_lookup(spark, sf_dir):
 
 
 @query("""WITH f AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE l_returnflag WHEN 'A' THEN 'GCI0003' WHEN 'N' THEN 'GCI0058' ELSE 'GCI0042' END AS rule_id, CAST(l_partkey % 3 AS INT) AS confidence, 'F' || (l_partkey % 300) AS file_path, l_linenumber AS line FROM lineitem),
-o AS (SELECT DISTINCT 'F' || (p_partkey % 300) AS file_path FROM part WHERE p_retailprice / 1000 >= 0.85 AND p_partkey % 300 < 100)
-SELECT id, rule_id, CASE WHEN rule_id <> 'GCI0042' AND o.file_path IS NOT NULL THEN 2 ELSE confidence END AS confidence, file_path, line FROM f LEFT JOIN o USING (file_path)""")
+o AS (SELECT DISTINCT 'F' || (p_partkey % 300) AS file_path, CAST(p_size % 9 AS INT) AS line, 1 AS hit FROM part WHERE p_retailprice / 1000 >= 0.85 AND p_partkey % 2 = 0)
+SELECT id, rule_id, CASE WHEN rule_id <> 'GCI0042' AND hit = 1 THEN 2 ELSE confidence END AS confidence, file_path, line FROM f LEFT JOIN o USING (file_path, line)""")
 def semantic_boost(spark, sf_dir):
     rule = F.when(c("l_returnflag") == "A", "GCI0003").when(c("l_returnflag") == "N", "GCI0058").otherwise("GCI0042")
     findings = _t(spark, sf_dir, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), rule.alias("rule_id"), (c("l_partkey") % 3).cast("int").alias("confidence"), F.concat(F.lit("F"), (c("l_partkey") % 300).cast("string")).alias("file_path"), c("l_linenumber").alias("line"))
-    risk = F.when(c("p_partkey") % 300 < 100, c("p_retailprice") / 1000).otherwise(0.0)
-    ops = _t(spark, sf_dir, "part").select(c("p_partkey").alias("op_id"), F.concat(F.lit("F"), (c("p_partkey") % 300).cast("string")).alias("file_path"), (c("p_size") % 9).cast("int").alias("line"), risk.alias("risk"))
+    kind, path = F.when(c("p_partkey") % 2 == 0, "ConditionalModified").otherwise("LineAdded"), F.concat(F.lit("/f"), (c("p_partkey") % 300).cast("string"))
+    ops = _t(spark, sf_dir, "part").select(path.alias("file_path"), (c("p_size") % 9).cast("int").alias("line"), kind.alias("kind"), (c("p_retailprice") / 1000).alias("risk"))
     return corpus.semantic_boost(findings, ops)
 
 
@@ -358,41 +358,39 @@ def path_correlation(spark, sf_dir):
     return corpus.path_correlation(fired, commented, positive)
 
 
-_SIGNALS = "fixture_id int, dependabot boolean, migration boolean, advisories int, sonar int, codeql int, semgrep int, social_score double, reviewers int, sensitive_path boolean, structural_score double, hotspot double, entropy double, test_gap boolean, empty_body boolean, unfinished boolean, first_contributor boolean, linked_issue boolean"
+def _customer_signals(spark, sf_dir):
+    """Signals of the enrichers by the digits of a customer's key; null where an enricher has not run."""
+    k = c("c_custkey")
+    some = lambda n, value: F.when(k % n == 0, value)
+    return _t(spark, sf_dir, "customer").select(
+        k.alias("fixture_id"), some(3, k % 30 == 0).alias("dependabot"), some(13, k % 26 == 0).alias("migration"), some(17, (k % 2).cast("int")).alias("advisories"), (F.when(k % 19 == 0, 1).otherwise(0)).alias("sonar"), F.lit(0).alias("codeql"),
+        some(23, (k % 2).cast("int")).alias("semgrep"), F.when(k % 4 < 3, (k % 10) / 10).alias("social_score"), (k % 3).cast("int").alias("reviewers"), (k % 2 == 0).alias("sensitive_path"), some(5, F.lit(0.7)).alias("structural_score"), some(7, F.lit(0.8)).alias("hotspot"),
+        some(11, F.lit(0.9)).alias("entropy"), some(2, k % 4 == 0).alias("test_gap"), (k % 5 == 1).alias("empty_body"), (k % 2 == 1).alias("unfinished"), (k % 8 == 3).alias("first_contributor"), (k % 6 == 1).alias("linked_issue"), some(29, F.lit(True)).alias("nlp"),
+    )
 
 
-def _signals(**given):
-    names = [x.split()[0] for x in _SIGNALS.split(", ")]
-    return tuple(given.get(n) for n in names)
+_LABELLED = """s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 4 < 3 THEN c_custkey % 10 / 10.0 END AS score, c_custkey % 3 AS reviewers, c_custkey % 19 = 0 OR (c_custkey % 23 = 0 AND c_custkey % 2 = 1) AS scanned FROM customer),
+l AS (SELECT k, reviewers, CASE
+  WHEN score IS NULL AND k % 3 <> 0 AND k % 13 <> 0 AND k % 17 <> 0 AND k % 19 <> 0 AND k % 23 <> 0 AND k % 5 <> 0 AND k % 7 <> 0 AND k % 11 <> 0 AND k % 2 <> 0 AND k % 29 <> 0 THEN 'INSUFFICIENT_DATA'
+  WHEN k % 30 = 0 THEN 'DEPENDABOT_FIX' WHEN k % 26 = 0 OR (k % 17 = 0 AND k % 2 = 1) OR scanned THEN 'HIGH_RISK_GHOST' WHEN k % 2 = 0 AND k % 5 = 0 AND score < 0.5 THEN 'HOT_PATH_UNREVIEWED' WHEN k % 7 = 0 AND score < 0.5 THEN 'HOT_PATH_UNREVIEWED'
+  WHEN k % 11 = 0 AND score < 0.4 THEN 'HOT_PATH_UNREVIEWED' WHEN score < 0.7 AND reviewers <= 1 THEN 'SILENT_LOGIC_CHANGE' WHEN k % 4 = 0 AND score < 0.5 THEN 'UNVALIDATED_BEHAVIORAL_RISK' WHEN k % 5 = 1 AND k % 2 = 1 AND score < 0.3 THEN 'UNVALIDATED_BEHAVIORAL_RISK'
+  WHEN k % 8 = 3 AND k % 5 = 1 THEN 'UNVALIDATED_BEHAVIORAL_RISK' WHEN score < 0.3 THEN 'UNVALIDATED_BEHAVIORAL_RISK' WHEN score >= 0.7 THEN 'STANDARD_CHANGE' ELSE 'INSUFFICIENT_DATA' END AS label FROM s),
+labelled AS (SELECT k AS fixture_id, label, CASE label WHEN 'DEPENDABOT_FIX' THEN 0.95 WHEN 'HIGH_RISK_GHOST' THEN CASE WHEN k % 19 = 0 THEN 0.8 WHEN k % 17 = 0 AND k % 2 = 1 THEN 0.85 ELSE 0.6 END WHEN 'SILENT_LOGIC_CHANGE' THEN 0.55
+  WHEN 'UNVALIDATED_BEHAVIORAL_RISK' THEN CASE WHEN k % 6 = 1 THEN 0.4 ELSE 0.5 END WHEN 'HOT_PATH_UNREVIEWED' THEN 0.65 WHEN 'STANDARD_CHANGE' THEN CASE WHEN reviewers >= 2 THEN 0.75 ELSE 0.6 END ELSE 0 END::DOUBLE AS confidence FROM l)"""
 
 
-_COMPOSITE = [
-    # signals, label, confidence: the expected answers
-    ({}, "INSUFFICIENT_DATA", 0.0), ({"dependabot": True, "sonar": 3}, "DEPENDABOT_FIX", 0.95), ({"migration": True}, "HIGH_RISK_GHOST", 0.6), ({"advisories": 2, "dependabot": False}, "HIGH_RISK_GHOST", 0.85),
-    ({"sonar": 1, "social_score": 0.9}, "HIGH_RISK_GHOST", 0.8), ({"semgrep": 1}, "HIGH_RISK_GHOST", 0.6), ({"sensitive_path": True, "structural_score": 0.7, "social_score": 0.4}, "HOT_PATH_UNREVIEWED", 0.65),
-    ({"hotspot": 0.7, "social_score": 0.49}, "HOT_PATH_UNREVIEWED", 0.65), ({"entropy": 0.8, "social_score": 0.39}, "HOT_PATH_UNREVIEWED", 0.65), ({"social_score": 0.6, "reviewers": 1}, "SILENT_LOGIC_CHANGE", 0.55),
-    ({"social_score": 0.45, "reviewers": 2, "test_gap": True}, "UNVALIDATED_BEHAVIORAL_RISK", 0.5), ({"social_score": 0.2, "reviewers": 2, "linked_issue": True}, "UNVALIDATED_BEHAVIORAL_RISK", 0.4),
-    ({"social_score": 0.6, "reviewers": 3, "first_contributor": True, "empty_body": True}, "UNVALIDATED_BEHAVIORAL_RISK", 0.5), ({"social_score": 0.8, "reviewers": 2}, "STANDARD_CHANGE", 0.75), ({"social_score": 0.8, "reviewers": 1}, "STANDARD_CHANGE", 0.6),
-    ({"social_score": 0.6, "reviewers": 2}, "INSUFFICIENT_DATA", 0.0), ({"hotspot": 0.9}, "INSUFFICIENT_DATA", 0.0),
-]
-
-
-def _composite(spark):
-    return corpus.composite_label(spark.createDataFrame([_signals(fixture_id=k, **s) for k, (s, _, _) in enumerate(_COMPOSITE)], _SIGNALS))
-
-
-@query(f"SELECT fixture_id, label, confidence::DOUBLE AS confidence FROM {values([(k, x, y) for k, (_, x, y) in enumerate(_COMPOSITE)], 'fixture_id, label, confidence')}")
+@query(f"WITH {_LABELLED} SELECT * FROM labelled")
 def composite_label(spark, sf_dir):
-    return _composite(spark)
+    return corpus.composite_label(_customer_signals(spark, sf_dir))
 
 
-_KNOWN = [(1, "GCI0012"), (9, "GCI0036"), (4, "GCI0001")]
-
-
-@query(f"""SELECT fixture_id, rule_id, confidence::DOUBLE AS confidence FROM {values([(k, x, y) for k, (_, x, y) in enumerate(_COMPOSITE)], 'fixture_id, label, confidence')} JOIN {values(corpus.LABEL_RULES, 'label, rule_id').replace(') v(', ') w(')} USING (label)
-WHERE (fixture_id, rule_id) NOT IN (SELECT (f, r) FROM {values(_KNOWN, 'f, r').replace(') v(', ') u(')})""")
+@query(f"""WITH {_LABELLED}, n AS (SELECT fixture_id, rule_id, confidence FROM labelled JOIN {values(corpus.LABEL_RULES, 'label, rule_id').replace(') v(', ') w(')} USING (label) UNION ALL SELECT c_custkey, 'GCI0021', 0.95::DOUBLE FROM customer WHERE c_custkey % 26 = 0)
+SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = fixture_id AND rule_id = CASE o_orderstatus WHEN 'F' THEN 'GCI0003' WHEN 'O' THEN 'GCI0036' ELSE 'GCI0012' END)""")
 def expected_of_labels(spark, sf_dir):
-    return corpus.expected_of_labels(_composite(spark), spark.createDataFrame(_KNOWN, "fixture_id int, rule_id string"))
+    status = F.when(c("o_orderstatus") == "F", "GCI0003").when(c("o_orderstatus") == "O", "GCI0036").otherwise("GCI0012")
+    known = _t(spark, sf_dir, "orders").select(c("o_custkey").alias("fixture_id"), status.alias("rule_id"))
+    migrated = _customer_signals(spark, sf_dir).filter("migration").select("fixture_id", F.lit(0.95).alias("confidence"))
+    return corpus.expected_of_labels(composite_label(spark, sf_dir), known, migrated)
 
 
 @query("""SELECT l_returnflag AS rule_id, l_orderkey * 10 + l_linenumber AS fixture_id, l_discount AS confidence, rn AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY l_returnflag ORDER BY l_discount DESC, l_orderkey * 10 + l_linenumber) AS INT) AS rn FROM lineitem WHERE l_linestatus = 'F' AND l_partkey % 3 <> 0) WHERE rn <= 3""")
@@ -548,12 +546,14 @@ def coordinated_labels(spark, sf_dir):
     return corpus.coordinated_labels(labels, "o_custkey", {"GCI0039": 0.8, "GCI0044": 0.75}, {"GCI0039": 0.7, "GCI0044": 0.65})
 
 
-_MIGRATED = [(1, "src/Migrations/M1.cs", "migrationBuilder.AddColumn("), (2, "db/a.sql", "ALTER TABLE t ADD c int"), (3, "src/A.cs", "create table x"), (4, "src/FooContextModelSnapshot.cs", "b.Property"), (5, "src/A.cs", "var x = 1;"), (6, "Migrations/M2.cs", "int x;")]
-
-
-@query("SELECT id, confidence::DOUBLE AS confidence, CAST(d AS BOOLEAN) AS detected FROM " + values([(1, 0.95, 1), (2, 0.85, 1), (3, 0.75, 1), (4, 0.0, 1), (5, 0.0, 0), (6, 0.85, 1)], "id, confidence, d"))
+@query("""WITH a AS (SELECT l_orderkey AS id, l_partkey % 9 AS p, l_suppkey % 7 AS t FROM lineitem), s AS (SELECT id, bool_or(p = 0) AS f, bool_or(p = 2) AS snap, bool_or(p = 1 OR t = 1) AS sq, bool_or(t IN (0, 2, 3)) AS code FROM a GROUP BY 1)
+SELECT id, CASE WHEN f THEN 0.95 WHEN sq THEN 0.85 WHEN code THEN 0.75 ELSE 0 END::DOUBLE AS confidence, f OR snap OR sq OR code AS detected FROM s""")
 def migration_signals(spark, sf_dir):
-    return corpus.migration_signals(spark.createDataFrame(_MIGRATED, "id int, path string, text string"), "id").select("id", "confidence", "detected")
+    """Each order as a change whose items name a file and a line."""
+    pick = lambda n, values, rest: F.coalesce(*[F.when(n == k, F.lit(v)) for k, v in enumerate(values)], F.lit(rest))
+    path = pick(c("l_partkey") % 9, ["src/Migrations/20240101000000_Add.cs", "db/a.SQL", "src/FooContextModelSnapshot.cs", "src/Migrations/Add.cs", "Migrations/20240101000000_Add.cs"], "src/A.cs")
+    text = pick(c("l_suppkey") % 7, ["migrationBuilder.AddColumn(", "alter table t", '[Column("x")]', "public partial class M : Migration", "partial class Migration"], "int x;")
+    return corpus.migration_signals(_t(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("id"), path.alias("path"), text.alias("text")), "id").select("id", "confidence", "detected")
 
 
 @query("SELECT n_nationkey, candidate, distance, CAST(rn AS INT) AS rank FROM (SELECT a.n_nationkey, b.n_name AS candidate, CAST(levenshtein(lower(a.n_name), lower(b.n_name)) AS INT) AS distance, row_number() OVER (PARTITION BY a.n_name ORDER BY levenshtein(lower(a.n_name), lower(b.n_name)), b.n_name) AS rn FROM nation a, nation b WHERE levenshtein(lower(a.n_name), lower(b.n_name)) BETWEEN 1 AND 2) WHERE rn <= 3")

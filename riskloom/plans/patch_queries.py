@@ -62,56 +62,84 @@ def rule_cases(spark, sf_dir):
     return asked.join(found, ["case_id", "rule_id", "check_name"], "left").select("case_id", "rule_id", "check_name", F.coalesce("fired", F.lit(False)).alias("fired"))
 
 
-_PATCHES = [
-    (0, patch(["if (IsReady(x))"], ["if (!IsReady(x))"])),
-    (1, patch(["if (Load(x) > 2)"], ["if (Load(x) > 1)"])),
-    (2, patch(["if (Other(x))"], ["if (Load(x) > 1)"])),
-    (3, patch(["class A {", "public void Run(Foo f) {", "f.Go();"], ["class A {", "public void Run(Foo f) {", "if (f == null)"])),
-    (4, patch(["ArgumentNullException.ThrowIfNull(f);", "f.Go();"], ["class A {", "public void Run(Foo f) {", "if (f == null)"])),
-    (5, patch(["class A {", "public void Run() {", "if (IsOpen(x)) {", "class B {", "public void Run() {", "if (!IsOpen(x)) {"])),
-    (6, patch(["class A {", "public void Run() {", "if (IsOpen(x)) {", "class B {", "public void Run() {", "if (IsOpen(y)) {"])),
-]
+def _item_diffs(spark, sf_dir):
+    """Each order as a diff of one file whose lines are its items: a condition by return flag, removed or added by status."""
+    condition = F.when(c("l_returnflag") == "A", "!IsReady(x)").when(c("l_returnflag") == "N", "IsReady(x)").otherwise(F.concat(F.lit("Load(x) > "), c("l_quantity").cast("int").cast("string")))
+    line = F.concat(F.when(c("l_linestatus") == "F", "-").otherwise("+"), F.lit("  if ("), condition, F.lit(")"))
+    items = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", line.alias("line")))).alias("rows"))
+    path = F.concat(F.when(c("l_orderkey") % 7 == 0, "tests/").otherwise("src/"), F.lit("Order"), c("l_orderkey").cast("string"), F.lit(".cs"))
+    head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n@@ -1,9 +1,9 @@\n"))
+    return items.select(c("l_orderkey").alias("diff_id"), F.concat(head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("raw_diff"))
 
 
-def _lines(spark):
-    return rules.context(spark.createDataFrame(_PATCHES, "diff_id long, raw_diff string"))
+_ITEMS = """i AS (SELECT l_orderkey AS d, row_number() OVER w AS n, l_linestatus <> 'F' AS added, sum(CASE WHEN l_linestatus <> 'F' THEN 1 ELSE 0 END) OVER w AS line, l_returnflag AS flag, CASE WHEN l_returnflag IN ('A', 'N') THEN 'IsReady' ELSE 'Load' END AS called,
+  CASE l_returnflag WHEN 'A' THEN '!IsReady(x)' WHEN 'N' THEN 'IsReady(x)' ELSE 'Load(x) > ' || CAST(floor(l_quantity) AS INT) END AS condition,
+  CASE WHEN l_orderkey % 7 = 0 THEN 'tests/' ELSE 'src/' END || 'Order' || l_orderkey || '.cs' AS file_path FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS UNBOUNDED PRECEDING)),
+p AS (SELECT a.d, a.n, min(r.n) AS m FROM i a JOIN i r ON a.d = r.d AND a.added AND NOT r.added AND a.called = r.called AND r.n BETWEEN a.n - 8 AND a.n + 3 GROUP BY 1, 2),
+o AS (SELECT a.d AS diff_id, a.file_path, CAST(a.line AS INT) AS line, 'ConditionalModified' AS kind, a.condition, r.condition AS removed, CASE WHEN r.n IS NULL THEN 0.55 WHEN (a.flag = 'A') <> (r.flag = 'A') THEN 0.95 ELSE 0.75 END::DOUBLE AS risk
+  FROM i a LEFT JOIN p ON p.d = a.d AND p.n = a.n LEFT JOIN i r ON r.d = p.d AND r.n = p.m WHERE a.added AND a.d % 7 <> 0)"""
 
 
-@query("SELECT diff_id, kind, risk::DOUBLE AS risk FROM " + values([(0, "ConditionalModified", 0.95), (1, "ConditionalModified", 0.75), (2, "ConditionalAdded", 0.55), (5, "ConditionalAdded", 0.55), (5, "ConditionalAdded", 0.55), (6, "ConditionalAdded", 0.55), (6, "ConditionalAdded", 0.55)], "diff_id, kind, risk"))
-def patch_operations(spark, sf_dir):
-    return semantics.operations(_lines(spark)).select("diff_id", "kind", "risk")
+def _item_operations(spark, sf_dir):
+    return semantics.operations(rules.context(_item_diffs(spark, sf_dir)))
 
 
-@query("SELECT diff_id, symbol FROM " + values([(3, "f")], "diff_id, symbol"))
-def unguarded_uses(spark, sf_dir):
-    return semantics.unguarded_uses(_lines(spark)).select("diff_id", "symbol")
+@query(f"WITH {_ITEMS} SELECT * FROM o")
+def patch_operations(spark, sf_dir):
+    return _item_operations(spark, sf_dir)
 
 
-@query("SELECT diff_id, method_name, callee, class_a, class_b FROM " + values([(5, "Run", "IsOpen", "A", "B")], "diff_id, method_name, callee, class_a, class_b"))
-def polarity_mismatches(spark, sf_dir):
-    return semantics.polarity_mismatches(_lines(spark)).drop("file_path")
+@query(f"WITH {_ITEMS} SELECT diff_id, line, 'BoundaryValue' AS case_kind FROM o")
+def counterfactuals(spark, sf_dir):
+    return semantics.counterfactuals(_item_operations(spark, sf_dir)).select("diff_id", "line", "case_kind")
 
 
-@query("SELECT diff_id, case_kind FROM " + values([(0, "OriginalCondition"), (1, "OriginalCondition"), (2, "WithoutCondition"), (5, "WithoutCondition"), (5, "WithoutCondition"), (6, "WithoutCondition"), (6, "WithoutCondition")], "diff_id, case_kind"))
-def counterfactuals(spark, sf_dir):
-    return semantics.counterfactuals(semantics.operations(_lines(spark))).select("diff_id", "case_kind")
+@query(f"WITH {_ITEMS} SELECT diff_id, line FROM o WHERE risk >= 0.9")
+def risky_operations(spark, sf_dir):
+    return semantics.select_operations(_item_operations(spark, sf_dir), "ConditionalModified", None, 0.9).select("diff_id", "line")
 
 
-@query("SELECT kind, n FROM " + values([("Contains", 7), ("DerivedFrom", 7)], "kind, n"))
+@query(f"WITH {_ITEMS} SELECT DISTINCT 'patch:' || d AS source, 'Contains' AS kind, 'file:' || file_path AS target FROM i UNION ALL SELECT DISTINCT 'op:' || diff_id || ':' || file_path || ':' || line, 'DerivedFrom', 'file:' || file_path FROM o")
 def patch_graph(spark, sf_dir):
-    lines = _lines(spark)
-    return semantics.graph(semantics.operations(lines), lines.select("diff_id", "file_path").distinct()).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    lines = rules.context(_item_diffs(spark, sf_dir))
+    return semantics.graph(semantics.operations(lines), lines.select("diff_id", "file_path").distinct())
 
 
-@query("SELECT source FROM " + values([("patch:3",)], "source"))
+@query(f"WITH {_ITEMS} SELECT DISTINCT 'op:' || diff_id || ':' || file_path || ':' || line AS source FROM o WHERE file_path = 'src/Order1.cs'")
 def graph_lookup(spark, sf_dir):
-    lines = _lines(spark)
-    return semantics.edges(semantics.graph(semantics.operations(lines), lines.select("diff_id", "file_path").distinct()), source="patch:3", kind="Contains").select("source")
+    return semantics.edges(patch_graph(spark, sf_dir), target="file:src/Order1.cs", kind="DerivedFrom").select("source")
 
 
-@query("SELECT diff_id FROM " + values([(0,)], "diff_id"))
-def risky_operations(spark, sf_dir):
-    return semantics.select_operations(semantics.operations(_lines(spark)), "ConditionalModified", "SRC/svc.cs", 0.9).select("diff_id")
+def _class_diffs(spark, sf_dir):
+    """Each order as a file of one class for each item, with a method that tests a member, negated by return flag."""
+    line = lambda *parts: F.concat(*parts)
+    member = F.concat(F.lit("IsOpen"), (c("l_partkey") % 2).cast("string"))
+    body = line(F.lit("+class C"), c("l_linenumber").cast("string"), F.lit(" {\n+  public void Run() {\n+    if ("), F.when(c("l_returnflag") == "A", "!").otherwise(""), member, F.lit("(x)) { Go(); }\n+  }\n+}"))
+    items = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", body.alias("line")))).alias("rows"))
+    head = F.concat(F.lit("diff --git a/src/Order.cs b/src/Order.cs\n@@ -1,9 +1,9 @@\n"))
+    return items.select(c("l_orderkey").alias("diff_id"), F.concat(head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("raw_diff"))
+
+
+@query("""WITH i AS (SELECT l_orderkey AS d, 'C' || l_linenumber AS k, 'IsOpen' || (l_partkey % 2) AS callee, l_returnflag = 'A' AS neg, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey % 2 ORDER BY l_partkey DESC, l_suppkey DESC, l_extendedprice DESC) AS rn FROM lineitem), s AS (SELECT * FROM i WHERE rn = 1)
+SELECT a.d AS diff_id, 'Run' AS method_name, a.callee, least(a.k, b.k) AS class_a, greatest(a.k, b.k) AS class_b FROM s a JOIN s b ON a.d = b.d AND a.callee = b.callee AND a.neg AND NOT b.neg""")
+def polarity_mismatches(spark, sf_dir):
+    return semantics.polarity_mismatches(rules.context(_class_diffs(spark, sf_dir))).drop("file_path")
+
+
+def _guard_diffs(spark, sf_dir):
+    """Each order as a method in which some items remove a guard of a symbol, some add one, and others use it."""
+    symbol = F.concat(F.lit("f"), (c("l_suppkey") % 2).cast("string"))
+    line = F.when(c("l_returnflag") == "A", F.concat(F.lit("-    if ("), symbol, F.lit(" == null) return;"))).when(c("l_returnflag") == "N", F.concat(F.when(c("l_linestatus") == "F", " ").otherwise("+"), F.lit("    "), symbol, F.lit(".Go();"))).otherwise(F.concat(F.lit("+    ArgumentNullException.ThrowIfNull("), symbol, F.lit(");")))
+    items = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", line.alias("line")))).alias("rows"))
+    head = F.lit("diff --git a/src/Order.cs b/src/Order.cs\n@@ -1,9 +1,9 @@\n class A {\n   public void Run(Foo f0, Foo f1) {\n")
+    return items.select(c("l_orderkey").alias("diff_id"), F.concat(head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n   }\n }")).alias("raw_diff"))
+
+
+@query("""WITH i AS (SELECT l_orderkey AS d, 'f' || (l_suppkey % 2) AS symbol, l_returnflag AS flag, l_linestatus <> 'F' AS fresh, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem),
+m AS (SELECT g.d, g.symbol, g.n AS guard, u.n AS used, row_number() OVER (PARTITION BY g.d, g.symbol, g.n ORDER BY u.fresh DESC, u.n) AS rn FROM i g JOIN i u ON g.d = u.d AND g.symbol = u.symbol AND g.flag = 'A' AND u.flag = 'N' AND u.n > g.n)
+SELECT d AS diff_id, symbol, used - guard AS apart FROM m WHERE rn = 1 AND NOT EXISTS (SELECT 1 FROM i k WHERE k.d = m.d AND k.symbol = m.symbol AND k.flag = 'R' AND k.n > m.guard AND k.n < m.used)""")
+def unguarded_uses(spark, sf_dir):
+    return semantics.unguarded_uses(rules.context(_guard_diffs(spark, sf_dir))).select("diff_id", "symbol", (c("use_ord") - c("guard_ord")).cast("long").alias("apart"))
 
 
 _LIGHT = [
