@@ -308,4 +308,4 @@ def flagship(spark, sf_dir):
     return delivery.deliver(rules.evaluate(_document_diffs(spark, sf_dir)))
 
 
-from riskloom.plans import corpus_queries, patch_queries  # noqa: E402, F401  (they register their queries)
+from riskloom.plans import corpus_queries, patch_queries, text_queries  # noqa: E402, F401  (they register their queries)

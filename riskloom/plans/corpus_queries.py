@@ -124,14 +124,6 @@ def error_log(spark, sf_dir):
     return _t(spark, sf_dir, "events").filter((c("event_type") == "error") & c("props").like("%7%")).select("event_id")
 
 
-_RULE_IDS = [("GCI0001",), ("GCI_SYN_1",), ("GCI-SYN-2",), ("GCIXSYNX",), ("XGCI0001",), ("GCI0042",)]
-
-
-@query(f"SELECT r FROM {values(_RULE_IDS, 'r')} WHERE r LIKE 'GCI%' AND r NOT LIKE 'GCI_SYN%'")
-def real_rule_ids(spark, sf_dir):
-    return spark.createDataFrame(_RULE_IDS, "r string").filter(c("r").like("GCI%") & ~c("r").like("GCI_SYN%"))
-
-
 @query("SELECT p_partkey FROM part WHERE p_type IS NULL OR p_type = '' OR lower(p_type) NOT IN ('economy', 'small', 'promo')")
 def invalid_tiers(spark, sf_dir):
     tier = c("p_type")
@@ -151,24 +143,6 @@ def diagnostics_on_changed_lines(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").filter("l_quantity >= 25").join(changed, "l_orderkey", "left_semi").select("l_orderkey", "l_linenumber")
 
 
-_PATHS = [
-    # path, test, generated, infrastructure, security: the expected answers
-    ("src/Latest.cs", False, False, False, False), ("src/Contest.cs", False, False, False, False), ("fixtures/A.cs", False, False, False, False), ("src/TestHelpers.cs", True, False, False, False),
-    ("src/IntegrationTests/A.cs", True, False, False, False), ("test-utils/A.cs", True, False, False, False), ("examples/A.cs", True, False, False, False), ("fakes/A.cs", True, False, False, False),
-    ("My.Benchmarks/A.cs", True, False, False, False), ("latest/A.cs", False, False, False, False), ("a_test/B.cs", True, False, False, False), ("spec/B.cs", True, False, False, False),
-    ("src/FooTests.cs", True, False, False, False), ("src/Foo.spec", False, False, False, False), ("src/FooSpec.ts", True, False, False, False), ("src\\Tests\\A.cs", True, False, False, False), ("src/protest.cs", False, False, False, False),
-    ("Generated/A.cs", False, False, False, False), ("src/Generated/A.cs", False, True, False, False), ("src/obj/A.cs", False, True, False, False), ("src/A.g.cs", False, True, False, False), ("src/A.g.i.cs", False, True, False, False),
-    ("src/F.Designer.cs", False, True, False, False), ("src/AssemblyInfo.cs", False, True, False, False), ("src/MyAssemblyInfo.cs", False, False, False, False), ("src/x.net8.0.cs", False, True, False, False), ("src/x.netstandard2.0.cs", False, True, False, False),
-    ("src/Program.cs", False, False, True, False), ("src/startup.cs", False, False, True, False), ("src/FooExtensions.cs", False, False, True, False), ("src/ServiceCollectionX/A.cs", False, False, True, False), ("src/Kestrel/A.cs", False, False, False, True), ("src/Tokens.cs", False, False, False, True),
-]
-
-
-@query("SELECT path, CAST(t AS BOOLEAN) AS test, CAST(g AS BOOLEAN) AS generated, CAST(i AS BOOLEAN) AS infrastructure, CAST(s AS BOOLEAN) AS security FROM " + values([(p, *map(int, x)) for p, *x in _PATHS], "path, t, g, i, s"))
-def path_predicates(spark, sf_dir):
-    p = c("path")
-    return spark.createDataFrame([(x[0],) for x in _PATHS], "path string").select("path", paths.is_test_file(p).alias("test"), paths.is_generated_file(p).alias("generated"), paths.is_infrastructure_file(p).alias("infrastructure"), paths.is_security_critical(p).alias("security"))
-
-
 # aggregates --------------------------------------------------------------------------------------------------------
 
 
@@ -289,10 +263,16 @@ def social_score(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", F.round(enrich.social_score(c("p_size") * 2 - 5, p % 4, p % 5, (p % 4 == 0) & (c("p_size") > 20)), 6).alias("score"))
 
 
-_COMMENTS = [
-    (1, "This has a race condition, and a deadlock"), (2, "NullReferenceException here? memory leak"), (3, "please add a test, regression risk"), (4, "db schema changed; uses .Result"), (5, "hard-coded value, linq in loop"),
-    (6, "all fine"), (7, ""), (8, None), (9, "PII in logs; SQL injection; semver"), (10, "use epsilon for float equality"), (11, "uncaught error"),
-]
+#: What is said beside a turn's own text, by its place, so that the words of review occur.
+_SAID = ["", "A race condition, and a deadlock", "NullReferenceException here? memory leak", "please add a test, regression risk", "db schema changed; uses .Result", "hard-coded value, linq in loop", "PII in logs; SQL injection; semver", "use epsilon for float equality", "uncaught error"]
+
+
+def _turns(spark, sf_dir):
+    said = F.element_at(F.lit(_SAID), ((c("conv_id") + c("turn")) % len(_SAID) + 1).cast("int"))
+    return _t(spark, sf_dir, "conversations").select((c("conv_id") * 1000 + c("turn")).alias("id"), F.concat("text", F.lit(" "), said).alias("t"))
+
+
+_TURNS_SQL = f"h AS (SELECT conv_id * 1000 + turn AS id, lower(text || ' ' || [{', '.join(literal(x) for x in _SAID)}][CAST((conv_id + turn) % {len(_SAID)} + 1 AS INT)]) AS t FROM conversations)"
 
 
 def _first_keyword(words: list[str]) -> str:
@@ -302,19 +282,24 @@ def _first_keyword(words: list[str]) -> str:
 _TAXONOMY_SQL = " UNION ALL ".join(f"SELECT id, {k} AS o, '{rule}' AS rule_id, {_first_keyword(words)} AS keyword, {sure}::DOUBLE AS confidence FROM h" for k, (rule, words, sure) in enumerate(enrich.TAXONOMY))
 
 
-@query(f"""WITH h AS (SELECT id, lower(coalesce(t, '')) AS t FROM {values(_COMMENTS, "id, t")}), g AS ({_TAXONOMY_SQL})
+@query(f"""WITH {_TURNS_SQL}, g AS ({_TAXONOMY_SQL})
 SELECT id, rule_id, keyword, confidence FROM (SELECT *, row_number() OVER (PARTITION BY id, rule_id ORDER BY o) AS rn FROM g WHERE keyword IS NOT NULL) WHERE rn = 1""")
 def review_comments(spark, sf_dir):
-    return enrich.taxonomy_hits(spark.createDataFrame(_COMMENTS, "id int, t string"), "id", c("t"))
+    return enrich.taxonomy_hits(_turns(spark, sf_dir), "id", c("t"))
 
 
-_BODIES = [(1, "Fix login", "Fixes #12 and some more words to be long enough"), (2, "WIP: thing", ""), (3, "Draft", None), (4, "Bump a from 1 to 2", "closes https://github.com/a/b/issues/4 with text"), (5, "Good title", "A body that is long enough, with no link at all")]
+_TITLES = ["Fix login", "WIP: thing", "Draft", "Bump a from 1 to 2", "Good title"]
+_BODIES = ["Fixes #12 and some more words to be long enough", "", "closes https://github.com/a/b/issues/4 with text", "A body that is long enough, with no link at all", "short todo"]
 
 
-@query(f"""SELECT id, length(trim(coalesce(b, ''), ' ')) < 30 AS "empty", regexp_matches(coalesce(b, ''), '(?i)(fixes|closes|resolves)\\s+(#\\d+|https://github\\.com/[^/]+/[^/]+/issues/\\d+)') AS linked,
-  regexp_matches(lower(t || ' ' || coalesce(b, '')), 'wip|work in progress|draft|do not merge|dnm|temp|hack|fixme|todo') AS unfinished, regexp_matches(t, '(?i)^(build\\(deps|chore\\(deps|bump\\s+\\S+\\s+from\\s+\\S+\\s+to\\s)') AS dependabot FROM {values(_BODIES, "id, t, b")}""")
+@query(f"""WITH d AS (SELECT o_orderkey AS id, [{", ".join(map(literal, _TITLES))}][CAST(o_orderkey % 5 + 1 AS INT)] || ' ' || o_orderstatus AS t, CASE WHEN o_custkey % 6 < 5 THEN [{", ".join(map(literal, _BODIES))}][CAST(o_custkey % 6 + 1 AS INT)] END AS b FROM orders)
+SELECT id, length(trim(coalesce(b, ''), ' ')) < 30 AS "empty", regexp_matches(coalesce(b, ''), '(?i)(fixes|closes|resolves)\\s+(#\\d+|https://github\\.com/[^/]+/[^/]+/issues/\\d+)') AS linked,
+  regexp_matches(lower(t || ' ' || coalesce(b, '')), 'wip|work in progress|draft|do not merge|dnm|temp|hack|fixme|todo') AS unfinished, regexp_matches(t, '(?i)^(build\\(deps|chore\\(deps|bump\\s+\\S+\\s+from\\s+\\S+\\s+to\\s)') AS dependabot FROM d""")
 def description_signals(spark, sf_dir):
-    df = spark.createDataFrame(_BODIES, "id int, t string, b string")
+    """Each order as a change with a title and, mostly, a body."""
+    title = F.concat(F.element_at(F.lit(_TITLES), (c("o_orderkey") % 5 + 1).cast("int")), F.lit(" "), "o_orderstatus")
+    body = F.when(c("o_custkey") % 6 < 5, F.get(F.lit(_BODIES), (c("o_custkey") % 6).cast("int")))
+    df = _t(spark, sf_dir, "orders").select(c("o_orderkey").alias("id"), title.alias("t"), body.alias("b"))
     return df.select("id", corpus.description_signals(c("t"), c("b")).alias("s"), corpus.is_dependabot(F.lit("x"), c("t")).alias("dependabot")).select("id", "s.*", "dependabot")
 
 
@@ -401,13 +386,13 @@ def promotions(spark, sf_dir):
 
 # scoring reports -----------------------------------------------------------------------------------------------------
 
-_METRICS = [("A", 0.9, 0.7, 3, 1), ("B", 0.7, 0.7, 3, 1), ("C", 0.9, 0.5, 3, 1), ("D", 0.1, 0.1, 0, 0), ("E", None, None, 0, 0)]
-
-
-@query(f"""SELECT rule_id, CASE WHEN tp = 0 AND fp = 0 THEN 'CRITICAL' WHEN p < 0.8 OR r < 0.6 THEN 'HIGH' ELSE 'NONE' END AS priority,
-  array_to_string(list_filter([CASE WHEN p < 0.8 THEN 'HighFalsePositiveRate' END, CASE WHEN r < 0.6 THEN 'LowRecall' END, CASE WHEN tp = 0 AND fp = 0 THEN 'NoSignal' END], lambda x: x IS NOT NULL), ',') AS issues FROM {values(_METRICS, "rule_id, p, r, tp, fp")}""")
+@query("""WITH m AS (SELECT p_partkey AS rule_id, CASE WHEN p_size % 7 > 0 THEN p_size / 50 END AS p, CASE WHEN p_size % 7 > 0 THEN (p_partkey % 10) / 10 END AS r, p_partkey % 3 AS tp, p_size % 3 AS fp FROM part)
+SELECT rule_id, CASE WHEN tp = 0 AND fp = 0 THEN 'CRITICAL' WHEN p < 0.8 OR r < 0.6 THEN 'HIGH' ELSE 'NONE' END AS priority,
+  array_to_string(list_filter([CASE WHEN p < 0.8 THEN 'HighFalsePositiveRate' END, CASE WHEN r < 0.6 THEN 'LowRecall' END, CASE WHEN tp = 0 AND fp = 0 THEN 'NoSignal' END], lambda x: x IS NOT NULL), ',') AS issues FROM m""")
 def refinement(spark, sf_dir):
-    return corpus.refinement(spark.createDataFrame(_METRICS, "rule_id string, precision double, recall double, tp int, fp int"))
+    share = lambda x: F.when(c("p_size") % 7 > 0, x)
+    metrics = _t(spark, sf_dir, "part").select(c("p_partkey").alias("rule_id"), share(c("p_size") / 50).alias("precision"), share((c("p_partkey") % 10) / 10).alias("recall"), (c("p_partkey") % 3).alias("tp"), (c("p_size") % 3).alias("fp"))
+    return corpus.refinement(metrics)
 
 
 @query("""SELECT c_mktsegment AS rule_id, status, c_custkey AS fixture_id, CAST(rn AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, status ORDER BY c_custkey) AS rn FROM (SELECT *, CASE WHEN c_acctbal > 5000 THEN 'FP' WHEN c_acctbal > 1000 THEN 'FN' ELSE 'TP' END AS status FROM customer) WHERE status <> 'TP') WHERE rn <= 3""")
@@ -489,51 +474,25 @@ def delivery_summary(spark, sf_dir):
 # text functions --------------------------------------------------------------------------------------------------------
 
 
-def _expected(name: str, kind: str, cases: list[tuple], function) -> None:
-    """A query of a function over stated cases (input, answer), with the answers as SQL."""
-
-    def run(spark, sf_dir):
-        df = spark.createDataFrame([(k, x) for k, (x, _) in enumerate(cases)], "id int, x string")
-        return df.select("id", function(c("x")).alias("answer"))
-
-    run.__name__ = name
-    query(f"SELECT id, CAST(answer AS {kind}) AS answer FROM {values([(k, a) for k, (_, a) in enumerate(cases)], 'id, answer')}")(run)
-
-
-_expected("duration_minutes", "BIGINT", [("24h", 1440), ("7d", 10080), ("30m", 30), ("2W", 20160), ("", 1440), (None, 1440), ("h", 1440), ("-3h", 1440), ("5y", 1440), ("xh", 1440)], text.duration_minutes)
-_expected("percent_text", "VARCHAR", [("0.125", "12%"), ("0.135", "14%"), ("1", "100%"), ("0", "0%"), ("0.005", "0%")], lambda x: text.percent(x.cast("decimal(10,4)")))
-_expected("issue_keys", "VARCHAR", [("feature/ABC-12 eng-3 #4", "ABC-12 Jira"), ("eng-123 and #4", "eng-123 Linear"), ("fixes #42", "42 GitHub"), ("GH-7", "GH-7 Jira"), ("nothing", ""), (None, "")], lambda x: F.concat_ws(" ", text.issue_key(x)["key"], text.issue_key(x)["provider"]))
-_expected("evidence_snippet", "VARCHAR", [("Line 3: a.cs: var x = 1;", "var x = 1;"), ("no colons", "no colons"), ("one: two", "one: two"), ("a:b:c:d", "c:d")], lambda x: text.evidence_snippet(x))
-_expected("package_names", "VARCHAR", [('<PackageReference Include="Newtonsoft.Json" Version="1" />', "Newtonsoft.Json"), ('      "Serilog.Sinks": {', "Serilog.Sinks"), ("var x = 1;", None), ("", None)], text.package_name)
-_expected("rule_ids", "VARCHAR", [("gci42", "GCI0042"), ("GCI0007", "GCI0007"), ("3", "GCI0003"), ("rule 0016", "GCI0016")], text.rule_id)
-_expected("evidence_masks", "VARCHAR", [('key = "secret";', 'key = "***";'), ("no text", "no text"), ('a("x", "y")', 'a("***", "***")')], text.masked)
-_expected("diagnostic_rules", "VARCHAR", [("CA2100", "GCI0012"), ("CA1062", "GCI0006"), ("CA1822", "GCI0008"), ("CA9999", None)], text.diagnostic_rule)
-_expected("target_frameworks", "VARCHAR", [("<TargetFramework>net8.0</TargetFramework>", "net8.0 true"), ("<TargetFrameworks>net6.0;net8.0</TargetFrameworks>", "net6.0 false"), ("<TargetFramework>netstandard2.0</TargetFramework>", "netstandard2.0 false"), ("<Project/>", "false"), ("<TargetFramework>net10.0</TargetFramework>", "net10.0 true")], lambda x: F.concat_ws(" ", text.target_framework(x)["framework"], text.target_framework(x)["modern"].cast("string")))
-_expected("token_lists", "VARCHAR", [("GCI_SYN_AGG;GCI0001", "GCI0001 1"), ("GCI0001; GCI0002", "GCI0001; GCI0002 2"), ("GCI_SYN_AGG", " 0"), ("", " 0")], lambda x: F.concat(text.without_token(x, "GCI_SYN_AGG")["items"], F.lit(" "), text.without_token(x, "GCI_SYN_AGG")["n"].cast("string")))
-_expected("label_replies", "VARCHAR", [('{"should_trigger": true, "confidence": 0.9, "reason": "r"}', "true 0.9 false"), ('```json\n{"should_trigger": false, "confidence": 0.3, "reason": "r"}\n```', "false 0.3 true"), ('{"should_trigger": true}', ""), ("nonsense", ""), (None, "")], lambda x: F.concat_ws(" ", *[text.label_of_reply(x)[f].cast("string") for f in ("should_trigger", "confidence", "is_inconclusive")]))
-_expected("diff_tags", "VARCHAR", [("+await LoadAsync();", "async"), ("+public interface IFoo", "contract-change"), ("+if (x == null) return 1; // new List<int>", "early-return,null-safety,state-mutation"), ("+_logger.Info(e); catch (Exception)", "exception-flow,logging"), ("", "")], lambda x: F.array_join(text.tags(x), ","))
-_expected("polarity_flips", "BOOLEAN", [("IsA(x)|!IsA(x)", 1), ("a == false|a", 1), ("Check(x, y: false)|Check(x, y: true)", 1), ("IsA(x)|IsA(y)", 0), ("a != true|!a", 0)], lambda x: text.is_polarity_flip(F.substring_index(x, "|", 1), F.substring_index(x, "|", -1)))
-_expected("predicate_symbols", "VARCHAR", [("IsReady && Load(x)", "IsReady,Load("), ("Is(x) || IsOk(y)", "IsOk,Is(,IsOk("), ("a > b", "")], lambda x: F.array_join(text.predicate_symbols(x), ","))
-_expected("severity_settings", "INT", [("block|error", 3), ("|warning", 2), ("|suggestion", 1), ("none|error", 0), ("|", 1), ("bad|bad", 1)], lambda x: text.severity_setting(F.substring_index(x, "|", 1), F.substring_index(x, "|", -1), F.lit(1)))
-
-
 # labelling -------------------------------------------------------------------------------------------------------------
 
 _COMMENT_SQL = " UNION ALL ".join(f"SELECT id, {k} AS o, '{rule}' AS rule_id, {_first_keyword(words)} AS keyword, {sure}::DOUBLE AS confidence FROM h" for k, (rule, words, sure) in enumerate(corpus.COMMENT_RULES))
 
 
-@query(f"""WITH h AS (SELECT id, lower(coalesce(t, '')) AS t FROM {values(_COMMENTS, "id, t")}), g AS ({_COMMENT_SQL})
+@query(f"""WITH {_TURNS_SQL}, g AS ({_COMMENT_SQL})
 SELECT id, rule_id, keyword, confidence FROM (SELECT *, row_number() OVER (PARTITION BY id, rule_id ORDER BY o) AS rn FROM g WHERE keyword IS NOT NULL) WHERE rn = 1""")
 def comment_labels(spark, sf_dir):
-    return enrich.taxonomy_hits(spark.createDataFrame(_COMMENTS, "id int, t string"), "id", c("t"), corpus.COMMENT_RULES)
+    return enrich.taxonomy_hits(_turns(spark, sf_dir), "id", c("t"), corpus.COMMENT_RULES)
 
 
-_ADDED = [(1, "var x = LoadAsync().Result;"), (1, "var y = m.Value;"), (2, "var h = MD5.Create();"), (2, "throw new ArgumentNullException();"), (3, "throw new WidgetException();"), (3, "INSERT IGNORE INTO t"), (4, "plain"), (5, "a!.b();")]
+_ADDED = [("var x = LoadAsync().Result;", "GCI0016", 0.65), ("var y = m.Value;", "GCI0006", 0.55), ("var h = MD5.Create();", "GCI0012", 0.7), ("throw new ArgumentNullException();", None, None), ("throw new WidgetException();", "GCI0032", 0.6), ("INSERT IGNORE INTO t", "GCI0015", 0.6), ("plain", None, None), ("a!.b();", "GCI0043", 0.55)]
 
 
-@query("SELECT id, rule_id, confidence::DOUBLE AS confidence FROM " + values([(1, "GCI0016", 0.65), (1, "GCI0006", 0.55), (2, "GCI0012", 0.7), (3, "GCI0032", 0.6), (3, "GCI0015", 0.6), (5, "GCI0043", 0.55)], "id, rule_id, confidence"))
+@query(f"SELECT DISTINCT l_orderkey AS id, rule_id, confidence::DOUBLE AS confidence FROM lineitem JOIN {values([(k, r, x) for k, (_, r, x) in enumerate(_ADDED) if r], 'k, rule_id, confidence')} ON k = l_partkey % {len(_ADDED)}")
 def strategy_labels(spark, sf_dir):
-    return corpus.strategy_labels(spark.createDataFrame(_ADDED, "id int, text string"), "id")
+    """Each order as a change whose items are added lines."""
+    line = F.element_at(F.lit([x for x, _, _ in _ADDED]), (c("l_partkey") % len(_ADDED) + 1).cast("int"))
+    return corpus.strategy_labels(_t(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("id"), line.alias("text")), "id")
 
 
 @query("""WITH l AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'GCI0016' WHEN 'O' THEN 'GCI0039' ELSE 'GCI0044' END AS rule_id, CASE WHEN o_totalprice > 250000 THEN 1 ELSE 0 END AS s FROM orders),
