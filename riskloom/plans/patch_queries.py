@@ -53,13 +53,18 @@ CASES = [
 ]
 
 
-@query("SELECT case_id, rule_id, check_name, CAST(fired AS BOOLEAN) AS fired FROM " + values([(2 * k + i, r, x, 1 - i) for k, (r, x, *_) in enumerate(CASES) for i in (0, 1)], "case_id, rule_id, check_name, fired"))
+_ASKED = [(2 * k + i, r, x, 1 - i) for k, (r, x, *_) in enumerate(CASES) for i in (0, 1)]
+
+
+@query(f"SELECT s_suppkey, rule_id, check_name, CAST(fired AS BOOLEAN) AS fired FROM supplier JOIN {values(_ASKED, 'case_id, rule_id, check_name, fired')} ON case_id = s_suppkey % {len(_ASKED)}")
 def rule_cases(spark, sf_dir):
-    """Each case that must fire its rule and each that must not, through the whole evaluation."""
-    texts = [(2 * k + i, patch(*lines[2 * i : 2 * i + 2], path)) for k, (_, _, *lines, path) in enumerate(CASES) for i in (0, 1)]
-    asked = spark.createDataFrame([(2 * k + i, r, x) for k, (r, x, *_) in enumerate(CASES) for i in (0, 1)], "case_id long, rule_id string, check_name string")
-    found = rules.evaluate(spark.createDataFrame(texts, "diff_id long, raw_diff string")).select(c("diff_id").alias("case_id"), "rule_id", c("check").alias("check_name")).distinct().withColumn("fired", F.lit(True))
-    return asked.join(found, ["case_id", "rule_id", "check_name"], "left").select("case_id", "rule_id", "check_name", F.coalesce("fired", F.lit(False)).alias("fired"))
+    """Each supplier as the diff of a case that must fire its rule, or of one that must not, through the whole evaluation."""
+    texts = [patch(*lines[2 * i : 2 * i + 2], path) for _, _, *lines, path in CASES for i in (0, 1)]
+    case = (c("s_suppkey") % len(_ASKED) + 1).cast("int")
+    of = lambda k: F.element_at(F.lit([x[k] for x in _ASKED]), case)
+    asked = _t(spark, sf_dir, "supplier").select("s_suppkey", of(1).alias("rule_id"), of(2).alias("check_name"), F.concat(F.element_at(F.lit(texts), case), F.lit(" // "), "s_name").alias("raw_diff"))
+    found = rules.evaluate(asked.select(c("s_suppkey").alias("diff_id"), "raw_diff")).select(c("diff_id").alias("s_suppkey"), "rule_id", c("check").alias("check_name")).distinct().withColumn("fired", F.lit(True))
+    return asked.join(found, ["s_suppkey", "rule_id", "check_name"], "left").select("s_suppkey", "rule_id", "check_name", F.coalesce("fired", F.lit(False)).alias("fired"))
 
 
 def _item_diffs(spark, sf_dir):
@@ -142,34 +147,36 @@ def unguarded_uses(spark, sf_dir):
     return semantics.unguarded_uses(rules.context(_guard_diffs(spark, sf_dir))).select("diff_id", "symbol", (c("use_ord") - c("guard_ord")).cast("long").alias("apart"))
 
 
-_LIGHT = [
-    (0, "diff --git a/x.cs b/x.cs\n--- a/x.cs\n+++ b/x.cs\n@@ -1 +1 @@\n-a\n+b\n c\n+d\ndiff --git a/y.md b/y.md\n--- a/y.md\n+++ b/y.md\n+e"),
-    (1, "--- a/z.cs\n+++ /dev/null\n-gone"), (2, ""),
-]
+def _light(spark, sf_dir):
+    """Each order as the diff of one file, a third of them no sources, whose lines are its items, removed or added by status."""
+    line = F.concat(F.when(c("l_linestatus") == "F", "-p").otherwise("+p"), c("l_partkey").cast("string"))
+    items = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", line.alias("line")))).alias("rows"))
+    path = F.concat(F.lit("src/O"), c("l_orderkey").cast("string"), F.when(c("l_orderkey") % 3 == 0, ".md").otherwise(".cs"))
+    head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1 +1 @@\n"))
+    return items.select(c("l_orderkey").alias("diff_id"), F.concat(head, F.array_join(F.transform("rows", lambda r: r["line"]), "\n")).alias("raw_diff"))
 
 
-def _light(spark):
-    return spark.createDataFrame(_LIGHT, "diff_id long, raw_diff string")
+_LIGHT_SQL = "p AS (SELECT l_orderkey AS d, 'src/O' || l_orderkey || CASE WHEN l_orderkey % 3 = 0 THEN '.md' ELSE '.cs' END AS path, l_linestatus <> 'F' AS added, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem)"
 
 
-@query("SELECT diff_id, kind, n FROM " + values([(0, "header", 6), (0, "added", 3), (0, "removed", 1), (1, "header", 2), (1, "removed", 1)], "diff_id, kind, n"))
+@query(f"WITH {_LIGHT_SQL} SELECT DISTINCT d AS diff_id, 'header' AS kind, 3 AS n FROM p UNION ALL SELECT d, CASE WHEN added THEN 'added' ELSE 'removed' END, count(*) FROM p GROUP BY 1, 2")
 def light_lines(spark, sf_dir):
-    return semantics.light_lines(_light(spark)).groupBy("diff_id", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return semantics.light_lines(_light(spark, sf_dir)).groupBy("diff_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT diff_id, path FROM " + values([(0, "x.cs")], "diff_id, path"))
+@query(f"WITH {_LIGHT_SQL} SELECT DISTINCT d AS diff_id, path FROM p WHERE d % 3 <> 0")
 def changed_sources(spark, sf_dir):
-    return semantics.changed_sources(_light(spark))
+    return semantics.changed_sources(_light(spark, sf_dir))
 
 
-@query("SELECT diff_id, path, replace(t, '|', chr(10)) AS text FROM " + values([(0, "x.cs", "b|d"), (0, "y.md", "e")], "diff_id, path, t"))
+@query(f"WITH {_LIGHT_SQL} SELECT d AS diff_id, path, string_agg('p' || l_partkey, chr(10) ORDER BY n) AS text FROM p WHERE added GROUP BY 1, 2")
 def added_text(spark, sf_dir):
-    return semantics.added_text(_light(spark))
+    return semantics.added_text(_light(spark, sf_dir))
 
 
-@query("SELECT diff_id, n FROM " + values([(0, 40), (1, 0), (2, 0)], "diff_id, n"))
+@query(f"WITH {_LIGHT_SQL} SELECT DISTINCT d AS diff_id, CASE WHEN path = 'src/O1.cs' THEN 40 ELSE 0 END AS n FROM p")
 def file_slices(spark, sf_dir):
-    return semantics.file_slice(_light(spark), "x.cs", 40).select("diff_id", F.coalesce(F.length("slice"), F.lit(0)).alias("n"))
+    return semantics.file_slice(_light(spark, sf_dir), "src/O1.cs", 40).select("diff_id", F.coalesce(F.length("slice"), F.lit(0)).alias("n"))
 
 
 # reports ---------------------------------------------------------------------------------------------------------------
@@ -212,20 +219,28 @@ def json_report(spark, sf_dir):
     return out.filter(F.size("j.findings") == c("j.total")).select("diff_id", "j.total", "j.blocks")
 
 
-_ANNOTATED = [(0, 2, "GCI1 A: b, 100%", "one\ntwo", "a.cs", 3), (1, 1, "T", "m", None, None), (2, 0, "T", "m", "", 1), (3, 0, "T", "m", "b.cs", None)]
-
-
-@query("SELECT diff_id, command FROM " + values([(0, "::error file=a.cs,line=3,title=GCI1 A%3A b%2C 100%25::one%0Atwo"), (1, "::warning title=T::m"), (2, "::notice title=T::m"), (3, "::notice file=b.cs,line=1,title=T::m")], "diff_id, command"))
+@query("""WITH f AS (SELECT l_orderkey AS d, 'R' || l_returnflag AS r, CASE WHEN l_partkey % 4 = 0 THEN '' ELSE 'f' || (l_partkey % 3) || '.cs' END AS file, CASE WHEN l_suppkey % 2 = 0 THEN l_linenumber END AS line, l_partkey % 3 AS sure,
+  CASE WHEN l_suppkey % 3 > 0 THEN 'e' || (l_suppkey % 5) || '%0Ax' END AS said, 's' || l_suppkey AS summary, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem),
+e AS (SELECT d, r, file, string_agg('%0A  - ' || said, '' ORDER BY n) AS said FROM (SELECT d, r, file, said, min(n) AS n FROM f WHERE said IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+l AS (SELECT d, r, file, min(line) AS first, count(*) AS n, string_agg(line, ', ' ORDER BY line) AS lines FROM (SELECT DISTINCT d, r, file, line FROM f WHERE line IS NOT NULL) GROUP BY ALL),
+g AS (SELECT d, r, file, arg_min(sure, n) AS sure, arg_min(summary, n) AS summary FROM f GROUP BY ALL)
+SELECT g.d AS diff_id, g.r AS rule_id, g.file AS file_path, '::' || CASE sure WHEN 2 THEN 'error' WHEN 1 THEN 'warning' ELSE 'notice' END || ' ' || CASE WHEN g.file <> '' THEN 'file=' || g.file || ',line=' || coalesce(first, 1) || ',' ELSE '' END || 'title=' || g.r || ' a%3A b%2C 5%25::' || summary
+  || CASE WHEN l.n > 1 THEN '%0ALines: ' || lines ELSE '' END || coalesce('%0AEvidence:' || e.said, '') AS command FROM g LEFT JOIN l USING (d, r, file) LEFT JOIN e USING (d, r, file)""")
 def workflow_annotations(spark, sf_dir):
-    return reports.annotations(spark.createDataFrame(_ANNOTATED, "diff_id long, confidence int, title string, message string, file_path string, line int"))
+    evidence = F.when(c("l_suppkey") % 3 > 0, F.concat(F.lit("e"), (c("l_suppkey") % 5).cast("string"), F.lit("\r\nx")))
+    findings = _t(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("diff_id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("ord"), F.concat(F.lit("R"), "l_returnflag").alias("rule_id"), F.lit("a: b, 5%").alias("rule_name"), F.concat(F.lit("s"), c("l_suppkey").cast("string")).alias("summary"),
+        (c("l_partkey") % 3).alias("confidence"), F.when(c("l_partkey") % 4 > 0, F.concat(F.lit("f"), (c("l_partkey") % 3).cast("string"), F.lit(".cs"))).alias("file_path"), F.when(c("l_suppkey") % 2 == 0, c("l_linenumber")).alias("line"), evidence.alias("evidence"),
+    )
+    return reports.annotations(findings)
 
 
-@query("SELECT tier, rule_id, row FROM " + values([("gold", "A", "| A | 12.5% | 100.0% | 0.0% |"), ("silver", "B", "| B | 33.3% | 50.0% | 66.7% |")], "tier, rule_id, row"))
+@query("""SELECT l_linestatus AS tier, l_returnflag AS rule_id, '| ' || l_returnflag || ' | ' || printf('%.1f', round(l_discount * 100, 1)) || '% | ' || printf('%.1f', round(l_tax * 100, 1)) || '% | ' || printf('%.1f', round(l_quantity / 50 * 100, 1)) || '% |' AS row FROM lineitem""")
 def markdown_scorecard(spark, sf_dir):
-    rows = [("gold", "A", 0.125, 1.0, 0.0), ("silver", "B", 1 / 3, 0.5, 2 / 3)]
-    return reports.markdown_scorecard(spark.createDataFrame(rows, "tier string, rule_id string, trigger_rate double, precision double, recall double"))
+    return reports.markdown_scorecard(_t(spark, sf_dir, "lineitem").select(c("l_linestatus").alias("tier"), c("l_returnflag").alias("rule_id"), c("l_discount").alias("trigger_rate"), c("l_tax").alias("precision"), (c("l_quantity") / 50).alias("recall")))
 
 
-@query("SELECT diff_id, row FROM " + values([(0, "<tr><td>A</td><td>a&lt;b&gt;.cs</td><td>3</td><td>x &amp; y</td></tr>"), (1, "<tr><td>B</td><td></td><td></td><td></td></tr>")], "diff_id, row"))
+@query("""SELECT p_partkey AS diff_id, '<tr><td>' || p_brand || '</td><td>' || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE 'a&lt;' || p_type || '&gt;.cs' END || '</td><td>' || p_size || '</td><td>' || p_name || ' &amp; x</td></tr>' AS row FROM part""")
 def html_rows(spark, sf_dir):
-    return reports.html_rows(spark.createDataFrame([(0, "A", "a<b>.cs", 3, "x & y"), (1, "B", None, None, None)], "diff_id long, rule_id string, file_path string, line int, evidence string"))
+    path = F.when(c("p_partkey") % 5 > 0, F.concat(F.lit("a<"), "p_type", F.lit(">.cs")))
+    return reports.html_rows(_t(spark, sf_dir, "part").select(c("p_partkey").alias("diff_id"), c("p_brand").alias("rule_id"), path.alias("file_path"), c("p_size").alias("line"), F.concat("p_name", F.lit(" & x")).alias("evidence")))

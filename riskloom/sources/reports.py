@@ -26,11 +26,24 @@ def _escaped(text: Column) -> Column:
 
 
 def annotations(findings: DataFrame) -> DataFrame:
-    """Workflow commands, one a finding; without a file the place is left out."""
-    level = F.when(F.col("confidence") == 2, "error").when(F.col("confidence") == 1, "warning").otherwise("notice")
-    title = F.concat(F.lit("title="), _escaped(F.col("title")), F.lit("::"), F.replace("message", F.lit("\n"), F.lit("%0A")))
-    place = F.concat(F.lit("file="), F.col("file_path"), F.lit(",line="), F.coalesce("line", F.lit(1)).cast("string"), F.lit(","))
-    return findings.select("diff_id", F.concat(F.lit("::"), level, F.lit(" "), F.coalesce(F.when(F.col("file_path") != "", place), F.lit("")), title).alias("command"))
+    """Workflow commands, one for each rule and file of a diff: diff_id, rule_id, file_path, command.
+
+    findings: diff_id, ord (their order), rule_id, rule_name, summary, confidence, file_path, line, evidence. The first finding
+    gives the level and the summary; then follow the lines, if several, and each distinct evidence in the order it came.
+    Without a file the place is left out, without a line it is line 1.
+    """
+    plain = lambda x: F.replace(F.replace(x, F.lit("\r"), F.lit("")), F.lit("\n"), F.lit("%0A"))
+    said = F.when(F.trim(F.coalesce("evidence", F.lit(""))) != "", F.struct("ord", "evidence"))
+    groups = findings.withColumn("file_path", F.coalesce("file_path", F.lit(""))).groupBy("diff_id", "rule_id", "file_path").agg(
+        F.min(F.struct("ord", "rule_name", "summary", "confidence")).alias("first"), F.array_sort(F.collect_set("line")).alias("lines"), F.array_sort(F.collect_list(said)).alias("said"),
+    )
+    evidence = F.array_distinct(F.transform("said", lambda x: x["evidence"]))
+    level = F.when(F.col("first.confidence") == 2, "error").when(F.col("first.confidence") == 1, "warning").otherwise("notice")
+    place = F.when(F.col("file_path") != "", F.concat(F.lit("file="), "file_path", F.lit(",line="), F.coalesce(F.try_element_at("lines", F.lit(1)), F.lit(1)).cast("string"), F.lit(","))).otherwise("")
+    title = F.concat(F.lit("title="), _escaped(F.concat_ws(" ", "rule_id", "first.rule_name")), F.lit("::"))
+    lines = F.when(F.size("lines") > 1, F.concat(F.lit("%0ALines: "), F.array_join(F.transform("lines", lambda x: x.cast("string")), ", "))).otherwise("")
+    shown = F.when(F.size(evidence) > 0, F.concat(F.lit("%0AEvidence:"), F.array_join(F.transform(evidence, lambda e: F.concat(F.lit("%0A  - "), plain(e))), ""))).otherwise("")
+    return groups.select("diff_id", "rule_id", "file_path", F.concat(F.lit("::"), level, F.lit(" "), place, title, plain(F.coalesce("first.summary", F.lit(""))), lines, shown).alias("command"))
 
 
 def check_runs(diffs: DataFrame, findings: DataFrame) -> DataFrame:

@@ -84,3 +84,48 @@ def test_strategies(spark):
     rows = [(1, "var x = LoadAsync().Result;"), (1, "var y = m.Value;"), (2, "var h = MD5.Create();"), (2, "throw new ArgumentNullException();"), (3, "throw new WidgetException();"), (3, "INSERT IGNORE INTO t"), (4, "plain"), (5, "a!.b();")]
     found = sorted((r.id, r.rule_id) for r in corpus.strategy_labels(spark.createDataFrame(rows, "id int, text string"), "id").collect())
     assert found == [(1, "GCI0006"), (1, "GCI0016"), (2, "GCI0012"), (3, "GCI0015"), (3, "GCI0032"), (5, "GCI0043")]
+
+
+def test_annotations_are_grouped(spark):
+    """One command for each rule and file: the first finding's level, all lines, each evidence once; marks escaped in titles."""
+    from riskloom.sources import reports
+
+    rows = [
+        (0, 1, "G1", "A: b, 100%", "one\ntwo", 2, "a.cs", 9, "e1"), (0, 2, "G1", "A: b, 100%", "later", 0, "a.cs", 3, "e\r\n2"), (0, 3, "G1", "A: b, 100%", "later", 0, "a.cs", 3, "e1"), (0, 4, "G1", "A", "s", 1, "b.cs", None, " "),
+        (1, 1, "G2", "T", "m", 0, None, 4, None),
+    ]
+    df = spark.createDataFrame(rows, "diff_id long, ord int, rule_id string, rule_name string, summary string, confidence int, file_path string, line int, evidence string")
+    assert sorted(r.command for r in reports.annotations(df).collect()) == [
+        "::error file=a.cs,line=3,title=G1 A%3A b%2C 100%25::one%0Atwo%0ALines: 3, 9%0AEvidence:%0A  - e1%0A  - e%0A2", "::notice title=G2 T::m", "::warning file=b.cs,line=1,title=G1 A::s",
+    ]
+
+
+def test_report_rows(spark):
+    from riskloom.sources import reports
+
+    rows = spark.createDataFrame([("gold", "A", 0.125, 1.0, 0.0), ("silver", "B", 1 / 3, 0.5, 2 / 3)], "tier string, rule_id string, trigger_rate double, precision double, recall double")
+    assert [r.row for r in reports.markdown_scorecard(rows).collect()] == ["| A | 12.5% | 100.0% | 0.0% |", "| B | 33.3% | 50.0% | 66.7% |"]
+    rows = spark.createDataFrame([(0, "A", "a<b>.cs", 3, "x & y"), (1, "B", None, None, None)], "diff_id long, rule_id string, file_path string, line int, evidence string")
+    assert [r.row for r in reports.html_rows(rows).collect()] == ["<tr><td>A</td><td>a&lt;b&gt;.cs</td><td>3</td><td>x &amp; y</td></tr>", "<tr><td>B</td><td></td><td></td><td></td></tr>"]
+
+
+def test_light_parser(spark):
+    from riskloom.operators import semantics
+
+    texts = [(0, "diff --git a/x.cs b/x.cs\n--- a/x.cs\n+++ b/x.cs\n@@ -1 +1 @@\n-a\n+b\n c\n+d\ndiff --git a/y.md b/y.md\n--- a/y.md\n+++ b/y.md\n+e"), (1, "--- a/z.cs\n+++ /dev/null\n-gone"), (2, "")]
+    df = spark.createDataFrame(texts, "diff_id long, raw_diff string")
+    counts = {(r.diff_id, r.kind): r["count"] for r in semantics.light_lines(df).groupBy("diff_id", "kind").count().collect()}
+    assert counts == {(0, "header"): 6, (0, "added"): 3, (0, "removed"): 1, (1, "header"): 2, (1, "removed"): 1}
+    assert [tuple(r) for r in semantics.changed_sources(df).collect()] == [(0, "x.cs")]
+    assert sorted(tuple(r) for r in semantics.added_text(df).collect()) == [(0, "x.cs", "b\nd"), (0, "y.md", "e")]
+    assert [len(r.slice or "") for r in semantics.file_slice(df, "x.cs", 40).orderBy("diff_id").collect()] == [40, 0, 0]
+
+
+def test_rule_cases(spark):
+    """Each stated case fires its rule, and its counterpart doesn't."""
+    from riskloom.operators import rules
+    from riskloom.plans.patch_queries import _ASKED, CASES, patch
+
+    texts = [(2 * k + i, patch(*lines[2 * i : 2 * i + 2], path)) for k, (_, _, *lines, path) in enumerate(CASES) for i in (0, 1)]
+    found = {(r.diff_id, r.rule_id, r.check) for r in rules.evaluate(spark.createDataFrame(texts, "diff_id long, raw_diff string")).collect()}
+    assert [x[:3] for x in _ASKED if (x[:3] in found) != bool(x[3])] == []
