@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import paths
 from riskloom.operators import delivery, enrich, retrieval, rules, scoring
-from riskloom.plans.registry import QUERIES, SQL, query
+from riskloom.plans.registry import QUERIES, SQL, query, values
 from riskloom.plans.registry import table as _t
 
 FLAGSHIP = "flagship"
@@ -297,15 +297,41 @@ def diff_parse(spark, sf_dir):
     return lines.groupBy("diff_id", "file_path").agg(F.count(F.lit(1)).alias("n_lines"), F.max("new_line").cast("long").alias("last_line"), F.md5(text.cast("binary")).alias("content_md5"))
 
 
-@query()
+#: Lines of code that follow a document's comment, one kind for each document: the line, and the findings on each.
+_CODE = [
+    ("var h = MD5.Create();", [("GCI0012", "weak hash", 3, 2)]), ("lock(this) { }", [("GCI0016", "lock on this", 3, 1)]), ("Thread.Sleep(5);", [("GCI0016", "thread sleep", 3, 1), ("GCI0044", "thread sleep", 1, 1)]),
+    ('var u = "10.1.2.3";', [("GCI0010", "ip literal", 3, 1)]), ("var a = b;", []), ("public async void Run() { }", [("GCI0016", "async void", 3, 2)]), ("var s = sp.GetService<IFoo>();", [("GCI0038", "service locator", 2, 2), ("GCI0046", "service locator outside set-up", 1, 0)]),
+    ("/* lock(this) */", []),
+]
+_COPIES = 7
+
+
+def _coded_diffs(spark, sf_dir):
+    """Each document as a diff that adds a source file: its lines as comments, then one to seven copies of a line of code."""
+    k = F.col("doc_id").cast("string")
+    head = F.concat(F.lit("diff --git a/src/D"), k, F.lit(".cs b/src/D"), k, F.lit(".cs\nnew file mode 100644\nindex 0..1\n--- /dev/null\n+++ b/src/D"), k, F.lit(".cs\n@@ -0,0 +1,1 @@\n+// "))
+    code = F.concat(F.lit("\n+"), F.element_at(F.lit([x for x, _ in _CODE]), (F.col("doc_id") % len(_CODE) + 1).cast("int")))
+    body = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n+// "))
+    return _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("diff_id"), F.concat(head, body, F.repeat(code, (F.col("doc_id") % _COPIES + 1).cast("int"))).alias("raw_diff"))
+
+
+_FOUND_SQL = f"""WITH d AS (SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n, doc_id % {len(_CODE)} AS code, CAST(doc_id % {_COPIES} + 1 AS INT) AS copies FROM documents),
+c AS (SELECT * FROM {values([(k, line, *f) for k, (line, fs) in enumerate(_CODE) for f in fs], 'code, evidence, rule_id, "check", severity, confidence')}),
+l AS (SELECT doc_id AS diff_id, rule_id, "check", CAST(severity AS INT) AS severity, CAST(confidence AS INT) AS confidence, 'src/D' || doc_id || '.cs' AS file_path, CAST(n + i AS INT) AS line, evidence FROM d, range(1, copies + 1) r(i), c WHERE c.code = d.code),
+f AS (SELECT * FROM l UNION ALL SELECT doc_id, 'GCI0019', 'large quiet diff', 1, 0, NULL, NULL, (n + copies) || ' lines' FROM d WHERE n + copies > 200 AND (SELECT count(*) FROM l WHERE diff_id = doc_id) <= 1)"""
+
+
+@query(_FOUND_SQL + " SELECT * FROM f")
 def rule_findings(spark, sf_dir):
-    return rules.evaluate(_document_diffs(spark, sf_dir))
+    return rules.evaluate(_coded_diffs(spark, sf_dir))
 
 
-@query()
+@query(_FOUND_SQL + """, s AS (SELECT *, CASE severity WHEN 3 THEN 1000 WHEN 2 THEN 100 ELSE 10 END + CASE confidence WHEN 2 THEN 30 WHEN 1 THEN 20 ELSE 0 END + CASE WHEN line IS NULL THEN 0 ELSE 60 END AS score FROM f),
+k AS (SELECT *, row_number() OVER (PARTITION BY diff_id, rule_id, "check" ORDER BY line) AS r FROM s)
+SELECT diff_id, rule_id, "check", severity, confidence, file_path, line, evidence, CAST(row_number() OVER (PARTITION BY diff_id ORDER BY score DESC, rule_id, line) AS INT) AS delivery_rank FROM k WHERE severity = 3 OR r <= CASE WHEN rule_id IN ('GCI0038', 'GCI0044') THEN 3 ELSE 5 END""")
 def flagship(spark, sf_dir):
     """Diff text to lines, findings, and the ranked delivery."""
-    return delivery.deliver(rules.evaluate(_document_diffs(spark, sf_dir)))
+    return delivery.deliver(rules.evaluate(_coded_diffs(spark, sf_dir)))
 
 
 from riskloom.plans import corpus_queries, patch_queries, text_queries  # noqa: E402, F401  (they register their queries)
