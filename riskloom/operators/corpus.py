@@ -40,12 +40,23 @@ def alerts_on_changed_files(alerts: DataFrame, changed: DataFrame, on: list[str]
     return alerts.join(changed.select(on).distinct(), on, "left_semi").dropDuplicates(key)
 
 
+#: Names meet texts in their first so many characters, or in all if they have fewer.
+ANCHOR = 4
+
+
 def incidents_of_files(incidents: DataFrame, files: DataFrame) -> DataFrame:
-    """incidents: id, title, description; files: file_path (a stated list). Each pair where the text names the file or its path."""
+    """incidents: id, title, description; files: file_path, any number. Each pair where the text holds the file's name (and so
+    wherever it holds its path), case ignored. Names and texts join on the names' first characters and are then compared whole;
+    a name without characters meets nothing."""
     text = F.lower(F.concat_ws(" ", "title", "description"))
     name = F.lower(F.substring_index(F.translate("file_path", "\\", "/"), "/", -1))
-    named = files.select("file_path", name.alias("_name"), F.lower("file_path").alias("_path")).distinct()
-    return incidents.withColumn("_text", text).join(named, F.contains("_text", F.col("_name")) | F.contains("_text", F.col("_path"))).select("id", "file_path")
+    named = files.select("file_path", name.alias("_name")).distinct().filter("_name <> ''")
+    named = named.withColumn("_anchor", F.substring("_name", 1, ANCHOR))
+    texts = incidents.select("id", text.alias("_text")).distinct()
+    pieces = F.flatten(F.array(*[F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, ANCHOR + 1)]))
+    found = texts.select("id", F.xxhash64("_text").alias("_hash"), F.explode(F.array_distinct(pieces)).alias("_anchor")).join(named, "_anchor").select("id", "_hash", "file_path", "_name").distinct()
+    met = found.join(texts.withColumn("_hash", F.xxhash64("_text")), ["id", "_hash"])
+    return met.filter(F.contains("_text", F.col("_name"))).select("id", "file_path")
 
 
 def first_by(df: DataFrame, key: list[str], *order: Column) -> DataFrame:

@@ -91,3 +91,16 @@ def test_a_migration_is_expected_whatever_the_label(spark):
     labels = spark.createDataFrame([(1, "DEPENDABOT_FIX", 0.95), (2, "INSUFFICIENT_DATA", 0.0)], "fixture_id int, label string, confidence double")
     known, migrated = spark.createDataFrame([(1, "GCI0012")], "fixture_id int, rule_id string"), spark.createDataFrame([(1, 0.75), (2, 0.95)], "fixture_id int, confidence double")
     assert sorted(tuple(r) for r in corpus.expected_of_labels(labels, known, migrated).collect()) == [(1, "GCI0021", 0.75), (2, "GCI0021", 0.95)]
+
+
+def test_incidents_meet_files_without_a_nested_loop(spark):
+    """Names of any length in texts of any length, case ignored; null parts, no name, marks of patterns, a long text."""
+    incidents = spark.createDataFrame([(1, "Crash in FOO.cs", None), (2, None, "a b"), (3, None, None), (4, "", "x" * 50_000 + " src/deep/Bar.cs"), (5, "foo.cs and Bar.cs", "foo.cs"), (6, "fooXcs", ""), (7, "étude", "日本語.cs")], "id int, title string, description string")
+    paths = ["src/Foo.cs", "lib\\foo.cs", "deep/Bar.cs", "x/b", "y/", "z/日本語.cs", "é/tude", "q/a.b", None]
+    df = corpus.incidents_of_files(incidents, spark.createDataFrame([(p,) for p in paths], "file_path string"))
+    want = set()
+    for r in incidents.collect():
+        text = " ".join(x for x in (r.title, r.description) if x is not None).lower()
+        want |= {(r.id, p) for p in paths if p and (n := p.replace("\\", "/").rsplit("/", 1)[-1].lower()) and n in text}
+    assert {tuple(r) for r in df.collect()} == want and df.count() == len(want)
+    assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in df._jdf.queryExecution().executedPlan().toString()
