@@ -292,7 +292,7 @@ def _document_diffs(spark, sf_dir):
 
 @query("""SELECT doc_id AS diff_id, 'src/D' || doc_id || '.cs' AS file_path, len(string_split(text, chr(10))) AS n_lines, len(string_split(text, chr(10))) AS last_line, md5(text) AS content_md5 FROM documents""")
 def diff_parse(spark, sf_dir):
-    lines = rules.context(_document_diffs(spark, sf_dir))
+    lines = rules.context(_document_diffs(spark, sf_dir), lexed=False)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_ord", "content"))), lambda x: x["content"]), "\n")
     return lines.groupBy("diff_id", "file_path").agg(F.count(F.lit(1)).alias("n_lines"), F.max("new_line").cast("long").alias("last_line"), F.md5(text.cast("binary")).alias("content_md5"))
 

@@ -86,7 +86,7 @@ o AS (SELECT a.d AS diff_id, a.file_path, CAST(a.line AS INT) AS line, 'Conditio
 
 
 def _item_operations(spark, sf_dir):
-    return semantics.operations(rules.context(_item_diffs(spark, sf_dir)))
+    return semantics.operations(rules.context(_item_diffs(spark, sf_dir), lexed=False))
 
 
 @query(f"WITH {_ITEMS} SELECT * FROM o")
