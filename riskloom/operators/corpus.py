@@ -379,6 +379,26 @@ COMMENT_RULES = [
     ("GCI0012", ["secret", "password", "credential", "api key", "api_key"], 0.75),
     ("GCI0022", ["idempotent", "idempotency", "idempotency key", "duplicate request", "retry safe", "insert duplicate", "upsert"], 0.65),
     ("GCI0021", ["migration", "schema change", "db migration", "database migration"], 0.65),
+    ("GCI0047", ["contradictory method", "wrong method name", "naming inversion", "method semantics", "misleading name", "method name contradicts"], 0.65),
+    ("GCI0024", ["dispose", "using statement", "memory leak", "resource leak", "not disposed", "idisposable", "undisposed"], 0.65),
+    ("GCI0029", ["pii", "personal data", "gdpr", "personally identifiable", "sensitive data", "user data in log", "privacy"], 0.7),
+    ("GCI0032", ["unhandled exception", "exception propagation", "missing catch", "throw without catch", "uncaught"], 0.6),
+    ("GCI0036", ["[pure]", "side effect in getter", "getter has side effect", "mutation in getter", "pure method mutates"], 0.55),
+    ("GCI0038", ["service locator", "captive dependency", "scoped in singleton", "getrequiredservice", "getservice", "di anti-pattern"], 0.65),
+    ("GCI0039", ["httpclient", "http client factory", "socket exhaustion", "ihttpclientfactory", "timeout missing", "cancellation token missing"], 0.65),
+    ("GCI0041", ["missing assertion", "skipped test", "test ignored", "[ignore]", "uninformative test name", "test quality"], 0.6),
+    ("GCI0042", ["todo", "fixme", "not implemented", "notimplementedexception", "stub left", "incomplete implementation"], 0.7),
+    ("GCI0043", ["null forgiving", "pragma warning disable nullable", "nullable warning", "cs8600", "null safety", "null-forgiving operator"], 0.6),
+    ("GCI0044", ["linq in loop", "allocation in loop", "performance hotpath", "hot path", "gc pressure", "memory pressure", "linq overhead"], 0.6),
+    ("GCI0045", ["over-engineering", "unnecessary abstraction", "single use interface", "passive wrapper", "delegation wrapper", "yagni"], 0.55),
+    ("GCI0046", ["inconsistent naming", "missing async suffix", "sync async naming", "pattern inconsistency", "naming convention"], 0.55),
+    ("GCI0047", ["contradictory name", "misleading method name", "method rename", "naming contradiction", "boolean naming inversion"], 0.55),
+    ("GCI0049", ["float comparison", "floating point equality", "double equality", "use epsilon", "math.abs comparison", "floating-point"], 0.65),
+    ("GCI0015", ["mass assignment", "over-posting", "sql ignore", "on conflict do nothing", "input binding", "unchecked cast", "data integrity"], 0.6),
+    ("GCI0035", ["layer violation", "architecture violation", "cross layer", "wrong layer", "should not reference", "dependency inversion"], 0.65),
+    ("GCI0048", ["insecure random", "use securerandom", "cryptographic rng", "system.random", "randomnumbergenerator", "not cryptographically"], 0.7),
+    ("GCI0050", ["sql truncation", "column too short", "string length", "max length", "nvarchar too small", "data truncation"], 0.6),
+    ("GCI0053", ["lockfile only", "lockfile changed without", "no source change", "why is the lockfile", "bump without source"], 0.55),
 ]
 #: Strategies on added lines: rule, pattern, confidence.
 STRATEGIES = [

@@ -334,4 +334,4 @@ def flagship(spark, sf_dir):
     return delivery.deliver(rules.evaluate(_coded_diffs(spark, sf_dir)))
 
 
-from riskloom.plans import corpus_queries, patch_queries, text_queries  # noqa: E402, F401  (they register their queries)
+from riskloom.plans import corpus_queries, label_queries, patch_queries, text_queries  # noqa: E402, F401  (they register their queries)
