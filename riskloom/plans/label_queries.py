@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import corpus, labels
+from riskloom.operators import corpus, labels, strategies
 from riskloom.plans.registry import literal, query
 from riskloom.plans.registry import table as _t
 from riskloom.sources import snapshots
@@ -114,3 +114,45 @@ def rule_audit(spark, sf_dir):
     latest = corpus.first_by(_t(spark, sf_dir, "orders"), ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey")).select(c("o_orderkey").alias("run_id"))
     counts = ["tp", "fp", "fn", "expected_triggers", "fixtures_latest", "triggers_all_runs"]
     return snapshots.rule_audit(snapshots.as_of(spark, _store(spark, sf_dir)), expected, actual, latest).na.fill(0, counts)
+
+
+_PATHS = ["src/OrderHandler.cs", "tests/OrderTests.cs", "src/Migrations/20240101000000_Add.cs", "samples/Order.cs", "docs/notes.txt", "src/Gone.cs"]
+_GONE = len(_PATHS) - 1
+_OUT = ["public int Get(int a)", '[JsonProperty("x")]', "using (var s = Open())", "if (upsert) { }", "Assert.Equal(1, n);", 'migrationBuilder.DropTable("t");', "var n = a?.Length ?? 0;"]
+_IN = ["public int Get(long a)", "var x = LoadAsync().Result;", "foreach (var a in list.Where(b)) { }", "class UserView { UserService s; }", "int n = value!;"]
+
+
+def _any(of: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({of}, {literal(w)})" for w in words) + ")"
+
+
+#: What the added lines and the paths show, line by line; the removed line of each change is one of _OUT.
+_ADDED_FLAGS = {
+    "blocks": f"({_any('t', ['.GetAwaiter().GetResult()', '.Wait()', 'lock(this)', 'lock (this)'])} OR (contains(t, '.Result') AND {_any('t', ['Task', 'Async'])}) OR (contains(t, '.Wait(') AND {_any('t', ['Task', 'CancellationToken'])}) OR (contains(t, 'async void ') AND NOT {_any('t', ['EventArgs', 'object sender'])}))",
+    "sleeps": "contains(t, 'Thread.Sleep(') AND code", "signature": "regexp_matches(t, '^\\s*(public|protected|internal) ') AND contains(t, '(')",
+    "layers": "code AND ((contains(lower(t), 'ui') AND contains(t, 'Repository')) OR (contains(t, 'View') AND contains(t, 'Service')) OR (contains(lower(t), 'database') AND contains(t, 'Controller')))",
+    "query": _any("t", [".Where(", ".Select(", ".FirstOrDefault("]), "loop": _any("t", ["for ", "foreach"]), "allocates": _any("t", ["new List<", "new Dictionary<", "new string"]),
+    "stub": "(contains(t, 'NotImplementedException') OR (contains(t, 'throw new') AND contains(t, 'NotImplemented')) OR (contains(t, 'TODO') AND contains(lower(t), 'implement')))",
+    "null_set": "code AND contains(t, ' = null') AND NOT contains(t, '?')", "forgives": f"((code AND {_any('t', [')!', '!;', '!,', '!.'])}) OR {_any('t', ['CS8600', 'CS8602'])} OR contains(lower(t), '#pragma warning disable nullable'))",
+    "secret": f"code AND ((regexp_matches(t, '^[^=]*=\\s*[@$]?\"') AND {_any('lower(t)', strategies.SECRET_WORDS)}) OR {_any('t', strategies.WEAK_HASH_CALLS)} OR (regexp_matches(t, '(?i)\\b(SELECT|INSERT|UPDATE|DELETE|FROM)\\b') AND ({_any('t', [' + ', 'string.Format('])} OR (contains(t, '{{') AND contains(t, '$\"')))))",
+}
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id % {len(_PATHS)} AS p, doc_id % {len(_OUT)} AS o, doc_id % {len(_IN)} AS i, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') AS x FROM documents),
+l AS (SELECT doc_id, unnest(string_split(x, chr(10))) AS t FROM d UNION ALL SELECT doc_id, [{", ".join(map(literal, _IN))}][CAST(i AS INT) + 1] FROM d),
+k AS (SELECT doc_id, t, NOT regexp_matches(t, '^\\s*//') AS code FROM l WHERE NOT starts_with(t, '++')),
+f AS (SELECT doc_id, {", ".join(f"coalesce(bool_or({v}), false) AS {n}" for n, v in _ADDED_FLAGS.items())} FROM k GROUP BY 1),
+m AS (SELECT d.doc_id, p IN (0, 2) AS own, p, o, f.* EXCLUDE (doc_id) FROM d JOIN f USING (doc_id)),
+r AS (SELECT doc_id, 'GCI0003' AS rule_id, own AND o = 0 AND signature AS hit FROM m UNION ALL SELECT doc_id, 'GCI0006', own AND (o = 6 OR null_set) FROM m UNION ALL SELECT doc_id, 'GCI0012', own AND secret FROM m
+UNION ALL SELECT doc_id, 'GCI0016', blocks OR (sleeps AND p <> 1) FROM m UNION ALL SELECT doc_id, 'GCI0021', (own AND o = 1) OR (p = 2 AND o = 5) FROM m UNION ALL SELECT doc_id, 'GCI0022', own AND o = 3 FROM m
+UNION ALL SELECT doc_id, 'GCI0024', own AND o = 2 FROM m UNION ALL SELECT doc_id, 'GCI0035', layers FROM m UNION ALL SELECT doc_id, 'GCI0041', o = 4 FROM m UNION ALL SELECT doc_id, 'GCI0042', stub FROM m
+UNION ALL SELECT doc_id, 'GCI0043', forgives FROM m UNION ALL SELECT doc_id, 'GCI0044', (query AND loop) OR (allocates AND p = 0) FROM m)
+SELECT doc_id AS diff_id, rule_id, CASE rule_id {" ".join(f"WHEN '{k}' THEN {v}" for k, v in strategies.CONFIDENCE.items())} END::DOUBLE AS confidence FROM r WHERE hit""")
+def diff_strategies(spark, sf_dir):
+    """Each document as a change of a file: its lines are added, with a line of code, and another line of code goes."""
+    pick = lambda of: F.element_at(F.lit(of), (c("doc_id") % len(of) + 1).cast("int"))
+    path = pick(_PATHS)
+    to = F.when(c("doc_id") % len(_PATHS) == _GONE, F.lit("/dev/null")).otherwise(F.concat(F.lit("b/"), path))
+    head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ "), to, F.lit("\n@@ -1,1 +1,2 @@\n-"), pick(_OUT), F.lit("\n+"))
+    body = F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), F.lit("\n"), F.lit("\n+"))
+    return strategies.diff_strategies(_t(spark, sf_dir, "documents").select(c("doc_id").alias("diff_id"), F.concat(head, body, F.lit("\n+"), pick(_IN)).alias("raw_diff")))
