@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.operators import corpus, labels, strategies
+from riskloom.operators import corpus, labels, signals, strategies
 from riskloom.plans.registry import literal, query
 from riskloom.plans.registry import table as _t
 from riskloom.sources import snapshots
@@ -156,3 +156,26 @@ def diff_strategies(spark, sf_dir):
     head = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ "), to, F.lit("\n@@ -1,1 +1,2 @@\n-"), pick(_OUT), F.lit("\n+"))
     body = F.replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), F.lit("\n"), F.lit("\n+"))
     return strategies.diff_strategies(_t(spark, sf_dir, "documents").select(c("doc_id").alias("diff_id"), F.concat(head, body, F.lit("\n+"), pick(_IN)).alias("raw_diff")))
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, bool_or(o_orderstatus = 'P' AND o_totalprice > 300000) AS dependabot, max(o_totalprice / 500000) AS score, max(o_orderkey % 3) AS reviewers, bool_or(o_orderpriority = '1-URGENT') AS empty_body, bool_or(o_orderstatus = 'F') AS unfinished FROM orders GROUP BY 1),
+e AS (SELECT user_id AS k, sum(CAST(event_type = 'error' AND value > 180 AS INT)) AS sonar, sum(CAST(event_type = 'signup' AND value > 190 AS INT)) AS codeql FROM events GROUP BY 1),
+h AS (SELECT conv_id AS k, max(turn / 10) AS structural, bool_or(role = 'user') AS sensitive FROM conversations GROUP BY 1), q AS (SELECT doc_id AS k, bool_or(quality = 0) AS test_gap, bool_or(toxic = 1) AS nlp FROM labels GROUP BY 1),
+d AS (SELECT doc_id AS k, max(n_chars / 20000) AS hotspot, bool_or(contains(text, '#')) AS linked FROM documents GROUP BY 1), m AS (SELECT s_suppkey AS k, bool_or(s_acctbal < 0) AS migration FROM supplier GROUP BY 1), p AS (SELECT p_partkey AS k, sum(CAST(p_size > 48 AS INT)) AS advisories FROM part GROUP BY 1),
+a AS (SELECT c_custkey AS k, o.* EXCLUDE (k), e.* EXCLUDE (k), h.* EXCLUDE (k), q.* EXCLUDE (k), d.* EXCLUDE (k), migration, advisories, coalesce(sonar, 0) + coalesce(codeql, 0) AS scanned FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN e ON e.k = c_custkey LEFT JOIN h ON h.k = c_custkey LEFT JOIN q ON q.k = c_custkey LEFT JOIN d ON d.k = c_custkey LEFT JOIN m ON m.k = c_custkey LEFT JOIN p ON p.k = c_custkey),
+l AS (SELECT *, CASE WHEN dependabot IS NULL AND score IS NULL AND structural IS NULL AND advisories IS NULL AND hotspot IS NULL AND nlp IS NULL AND test_gap IS NULL AND migration IS NULL AND scanned = 0 THEN 'INSUFFICIENT_DATA' WHEN dependabot THEN 'DEPENDABOT_FIX' WHEN migration OR advisories > 0 OR scanned > 0 THEN 'HIGH_RISK_GHOST'
+  WHEN sensitive AND structural >= 0.6 AND score < 0.5 THEN 'HOT_PATH_UNREVIEWED' WHEN hotspot >= 0.7 AND score < 0.5 THEN 'HOT_PATH_UNREVIEWED' WHEN score < 0.7 AND reviewers <= 1 THEN 'SILENT_LOGIC_CHANGE' WHEN test_gap AND score < 0.5 THEN 'UNVALIDATED_BEHAVIORAL_RISK'
+  WHEN empty_body AND unfinished AND score < 0.3 THEN 'UNVALIDATED_BEHAVIORAL_RISK' WHEN score < 0.3 THEN 'UNVALIDATED_BEHAVIORAL_RISK' WHEN score >= 0.7 THEN 'STANDARD_CHANGE' ELSE 'INSUFFICIENT_DATA' END AS label FROM a)
+SELECT k AS fixture_id, label, CASE label WHEN 'DEPENDABOT_FIX' THEN 0.95 WHEN 'HIGH_RISK_GHOST' THEN CASE WHEN scanned > 0 THEN 0.8 WHEN advisories > 0 THEN 0.85 ELSE 0.6 END WHEN 'SILENT_LOGIC_CHANGE' THEN 0.55 WHEN 'UNVALIDATED_BEHAVIORAL_RISK' THEN CASE WHEN linked THEN 0.4 ELSE 0.5 END
+  WHEN 'HOT_PATH_UNREVIEWED' THEN 0.65 WHEN 'STANDARD_CHANGE' THEN CASE WHEN reviewers >= 2 THEN 0.75 ELSE 0.6 END ELSE 0 END::DOUBLE AS confidence FROM l""")
+def assembled_labels(spark, sf_dir):
+    """Customers as fixtures: seven tables as enrichers, one exchange, then the decision list."""
+    of = lambda name, key: _t(spark, sf_dir, name).withColumn("fixture_id", c(key))
+    enrichers = [
+        (of("orders", "o_custkey"), {"dependabot": (c("o_orderstatus") == "P") & (c("o_totalprice") > 300000), "social_score": c("o_totalprice") / 500000, "reviewers": c("o_orderkey") % 3, "empty_body": c("o_orderpriority") == "1-URGENT", "unfinished": c("o_orderstatus") == "F"}),
+        (of("events", "user_id"), {"sonar": ((c("event_type") == "error") & (c("value") > 180)).cast("int"), "codeql": ((c("event_type") == "signup") & (c("value") > 190)).cast("int")}),
+        (of("conversations", "conv_id"), {"structural_score": c("turn") / 10, "sensitive_path": c("role") == "user"}),
+        (of("labels", "doc_id"), {"test_gap": c("quality") == 0, "nlp": c("toxic") == 1}), (of("documents", "doc_id"), {"hotspot": c("n_chars") / 20000, "linked_issue": F.contains("text", F.lit("#"))}),
+        (of("supplier", "s_suppkey"), {"migration": c("s_acctbal") < 0}), (of("part", "p_partkey"), {"advisories": (c("p_size") > 48).cast("int")}),
+    ]
+    return corpus.composite_label(signals.assemble(_t(spark, sf_dir, "customer").select(c("c_custkey").alias("fixture_id")), enrichers))
