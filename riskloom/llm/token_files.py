@@ -186,12 +186,13 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2
     """Writes the files and returns their folder.
 
     Documents are dealt by ranges of doc_id, encoded once and kept as plain ids until the counts of all are known. Both
-    later passes read those in their order, so no further shuffle is needed.
+    later passes read those in their order, so no further shuffle is needed. Rows that repeat doc_id and text stand in for
+    each other, so their place in the input parts them into as many ranges as they need.
     """
     spark = docs.sparkSession
     folder, path = folder or new_folder(spark, "tokens"), vocabulary or vocabulary_path()
-    rows = doc_texts(docs).withColumn("tie", F.xxhash64("text"))
-    ranged = rows.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    rows = doc_texts(docs).withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ranged = rows.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie").drop("tie", "row")
     ids = written(ranged.mapInArrow(tidy(lambda batches: _encoded(path, end_id, batches)), "doc_id long, place long, ids binary"), "ids", folder, compression="zstd")
     counts = np.zeros(1, np.int64)
     for i, n in ids.select("ids").mapInArrow(tidy(_counted), "id long, n long").groupBy("id").agg(F.sum("n")).toLocalIterator():  # one row an id of the vocabulary

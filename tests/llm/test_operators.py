@@ -498,3 +498,13 @@ def test_map_versions(spark, tmp_path):
     sharding.store_map(spark, str(tmp_path), first, 1)
     sharding.store_map(spark, str(tmp_path), grown, 2)
     assert (sharding.read_map(spark, str(tmp_path)) == grown).all() and (sharding.read_map(spark, str(tmp_path), 1) == first).all()
+
+
+def test_repeated_rows_make_several_parts_of_the_files(spark, tmp_path):
+    """Rows that repeat doc_id and text are dealt over tasks; each still has a place of its own."""
+    docs = spark.range(6000, numPartitions=4).selectExpr("7L AS doc_id", "repeat('same words again ', 5) AS text").unionByName(spark.createDataFrame([(6, "before"), (8, "after")], "doc_id long, text string"))
+    folder = token_files.write_tokens(docs, folder=str(tmp_path / "tokens"))
+    assert spark.read.parquet(f"{folder}/blocks").select("part").distinct().count() > 2
+    rows = token_files.read_tokens(spark, folder).select("doc_id", "start", "n_tokens").orderBy("start").collect()
+    assert len(rows) == 6002 and [r.doc_id for r in rows] == [6] + [7] * 6000 + [8]
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:], strict=False)) and rows[0].start == 0
