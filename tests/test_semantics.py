@@ -104,3 +104,15 @@ def test_incidents_meet_files_without_a_nested_loop(spark):
         want |= {(r.id, p) for p in paths if p and (n := p.replace("\\", "/").rsplit("/", 1)[-1].lower()) and n in text}
     assert {tuple(r) for r in df.collect()} == want and df.count() == len(want)
     assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_polarity_reads_lines_once(spark):
+    """Members of many classes meet in one aggregate: the lines are cut and lexed once."""
+    text = "diff --git a/a.cs b/a.cs\n@@ -1 +1,9 @@\n" + "\n".join(f"+class {n} {{\n+public void Run() {{\n+if ({x}IsOpen(y)) {{ }}\n+}}\n+}}" for n, x in [("D", "!"), ("A", "!"), ("B", ""), ("C", "")])
+    found = semantics.polarity_mismatches(rules.context(spark.createDataFrame([(0, text)], "diff_id long, raw_diff string")))
+    assert sorted((r.class_a, r.class_b) for r in found.collect()) == [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")]
+    assert "Join" not in _plan(found) and _plan(found).count("_placed(") == 1
