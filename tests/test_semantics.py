@@ -116,3 +116,12 @@ def test_polarity_reads_lines_once(spark):
     found = semantics.polarity_mismatches(rules.context(spark.createDataFrame([(0, text)], "diff_id long, raw_diff string")))
     assert sorted((r.class_a, r.class_b) for r in found.collect()) == [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")]
     assert "Join" not in _plan(found) and _plan(found).count("_placed(") == 1
+
+
+def test_unguarded_uses_read_lines_once(spark):
+    """An added use counts before a nearer one, a guard between spares it, two removals of a line are one."""
+    body = [" class A {", "  public void Run(Foo f) {", "-    if (f == null) Check.ThrowIfNull(f);", "     f.One();", "+    f.Two();", "-    if (g == null) return;", "+    ThrowIfNull(g);", "+    g.Go();", "   }", " }"]
+    text = "diff --git a/a.cs b/a.cs\n@@ -1,9 +1,9 @@\n" + "\n".join(body)
+    found = semantics.unguarded_uses(rules.context(spark.createDataFrame([(0, text)], "diff_id long, raw_diff string")))
+    assert [(r.symbol, r.use_ord - r.guard_ord) for r in found.collect()] == [("f", 2)]
+    assert "Join" not in _plan(found) and _plan(found).count("_placed(") == 1
