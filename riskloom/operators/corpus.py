@@ -42,21 +42,29 @@ def alerts_on_changed_files(alerts: DataFrame, changed: DataFrame, on: list[str]
 
 #: Names meet texts in their first so many characters, or in all if they have fewer.
 ANCHOR = 4
+#: So many names at most are broadcast at once.
+NAME_BLOCK = 20_000
 
 
 def incidents_of_files(incidents: DataFrame, files: DataFrame) -> DataFrame:
     """incidents: id, title, description; files: file_path, any number. Each pair where the text holds the file's name (and so
-    wherever it holds its path), case ignored. Names and texts join on the names' first characters and are then compared whole;
-    a name without characters meets nothing."""
-    text = F.lower(F.concat_ws(" ", "title", "description"))
+    wherever it holds its path), case ignored; a name without characters meets nothing.
+
+    Names are broadcast in blocks of bounded size. A text meets those whose first characters it holds and is compared with them
+    whole in the same row: texts and their pieces are neither broadcast nor shuffled.
+    """
     name = F.lower(F.substring_index(F.translate("file_path", "\\", "/"), "/", -1))
     named = files.select("file_path", name.alias("_name")).distinct().filter("_name <> ''")
     named = named.withColumn("_anchor", F.substring("_name", 1, ANCHOR))
-    texts = incidents.select("id", text.alias("_text")).distinct()
-    pieces = F.flatten(F.array(*[F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in range(1, ANCHOR + 1)]))
-    found = texts.select("id", F.xxhash64("_text").alias("_hash"), F.explode(F.array_distinct(pieces)).alias("_anchor")).join(named, "_anchor").select("id", "_hash", "file_path", "_name").distinct()
-    met = found.join(texts.withColumn("_hash", F.xxhash64("_text")), ["id", "_hash"])
-    return met.filter(F.contains("_text", F.col("_name"))).select("id", "file_path")
+    n, sizes = named.agg(F.count(F.lit(1)), F.collect_set(F.length("_anchor"))).first()
+    texts = incidents.select("id", F.lower(F.concat_ws(" ", "title", "description")).alias("_text"))
+    pieces = F.flatten(F.array(*[F.regexp_extract_all("_text", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1)) for k in sorted(sizes) or [1]]))
+    cut, blocks, out = texts.select("id", "_text", F.explode(F.array_distinct(pieces)).alias("_anchor")), max(1, -(-n // NAME_BLOCK)), None
+    for b in range(blocks):
+        part = named if blocks == 1 else named.filter(F.pmod(F.xxhash64("file_path"), F.lit(blocks)) == b)
+        met = cut.join(F.broadcast(part), "_anchor").filter(F.contains("_text", F.col("_name"))).select("id", F.sha2("_text", 256).alias("_sha"), "file_path")
+        out = met if out is None else out.unionByName(met)
+    return out.distinct().select("id", "file_path")
 
 
 def first_by(df: DataFrame, key: list[str], *order: Column) -> DataFrame:

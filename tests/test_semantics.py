@@ -1,7 +1,9 @@
 """Patch operations, labels and migrations: stated cases and their answers."""
 
 import pytest
+from conftest import SF
 from riskloom.operators import corpus, rules, semantics
+from riskloom.plans import catalog
 
 
 def patch(added, removed=(), path="src/Svc.cs"):
@@ -125,3 +127,13 @@ def test_unguarded_uses_read_lines_once(spark):
     found = semantics.unguarded_uses(rules.context(spark.createDataFrame([(0, text)], "diff_id long, raw_diff string")))
     assert [(r.symbol, r.use_ord - r.guard_ord) for r in found.collect()] == [("f", 2)]
     assert "Join" not in _plan(found) and _plan(found).count("_placed(") == 1
+
+
+def test_incidents_are_not_broadcast(spark, monkeypatch):
+    """Names are the broadcast side, in blocks; the pieces of the texts, far more than the texts, never are."""
+    plan = catalog.QUERIES["incident_files"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and not any("Generate" in x for x in plan.split("BroadcastExchange")[1:])
+    monkeypatch.setattr(corpus, "NAME_BLOCK", 2)
+    incidents = spark.createDataFrame([(1, "t", "ab.cs x.y"), (1, "t", "ab.cs"), (1, "t", "ab.cs"), (2, None, "Q.Z")], "id long, title string, description string")
+    found = corpus.incidents_of_files(incidents, spark.createDataFrame([(x,) for x in ["a/AB.cs", "x.y", "b/x.y", "q.z", "none.cs"]], "file_path string"))
+    assert sorted(tuple(r) for r in found.collect()) == [(1, "a/AB.cs"), (1, "a/AB.cs"), (1, "b/x.y"), (1, "x.y"), (2, "q.z")]
