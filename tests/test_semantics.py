@@ -3,7 +3,7 @@
 import pytest
 from conftest import SF
 from riskloom.operators import corpus, rules, semantics
-from riskloom.plans import catalog
+from riskloom.plans import catalog, patch_queries
 
 
 def patch(added, removed=(), path="src/Svc.cs"):
@@ -137,3 +137,11 @@ def test_incidents_are_not_broadcast(spark, monkeypatch):
     incidents = spark.createDataFrame([(1, "t", "ab.cs x.y"), (1, "t", "ab.cs"), (1, "t", "ab.cs"), (2, None, "Q.Z")], "id long, title string, description string")
     found = corpus.incidents_of_files(incidents, spark.createDataFrame([(x,) for x in ["a/AB.cs", "x.y", "b/x.y", "q.z", "none.cs"]], "file_path string"))
     assert sorted(tuple(r) for r in found.collect()) == [(1, "a/AB.cs"), (1, "a/AB.cs"), (1, "b/x.y"), (1, "x.y"), (2, "q.z")]
+
+
+def test_more_items_take_more_tasks(spark, monkeypatch):
+    """What one task sorts is bounded by the number of its items, not by that of shuffle partitions."""
+    monkeypatch.setattr(patch_queries, "ITEMS_AT_ONCE", 100)
+    n = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    for name in ["patch_operations", "risky_operations", "counterfactuals"]:
+        assert f", {-(-n // 100)}), REPARTITION_BY_NUM" in catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
