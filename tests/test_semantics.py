@@ -139,6 +139,13 @@ def test_incidents_are_not_broadcast(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == [(1, "a/AB.cs"), (1, "a/AB.cs"), (1, "b/x.y"), (1, "x.y"), (2, "q.z")]
 
 
+def test_graph_of_lines_is_read_and_dealt_once(spark, lines):
+    whole = semantics.graph(semantics.operations(lines), lines.select("diff_id", "file_path").distinct())
+    assert sorted(map(str, semantics.line_graph(lines).collect())) == sorted(map(str, whole.collect()))
+    plan = catalog.QUERIES["patch_graph"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "_placed(" not in plan
+
+
 def test_more_items_take_more_tasks(spark, monkeypatch):
     """What one task sorts is bounded by the number of its items, not by that of shuffle partitions."""
     monkeypatch.setattr(patch_queries, "ITEMS_AT_ONCE", 100)
