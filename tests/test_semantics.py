@@ -117,7 +117,7 @@ def test_polarity_reads_lines_once(spark):
     text = "diff --git a/a.cs b/a.cs\n@@ -1 +1,9 @@\n" + "\n".join(f"+class {n} {{\n+public void Run() {{\n+if ({x}IsOpen(y)) {{ }}\n+}}\n+}}" for n, x in [("D", "!"), ("A", "!"), ("B", ""), ("C", "")])
     found = semantics.polarity_mismatches(rules.context(spark.createDataFrame([(0, text)], "diff_id long, raw_diff string")))
     assert sorted((r.class_a, r.class_b) for r in found.collect()) == [("A", "B"), ("A", "C"), ("B", "D"), ("C", "D")]
-    assert "Join" not in _plan(found) and _plan(found).count("_placed(") == 1
+    assert "Join" not in _plan(found) and _plan(found).count("posexplode(") == 1
 
 
 def test_unguarded_uses_read_lines_once(spark):
@@ -126,7 +126,7 @@ def test_unguarded_uses_read_lines_once(spark):
     text = "diff --git a/a.cs b/a.cs\n@@ -1,9 +1,9 @@\n" + "\n".join(body)
     found = semantics.unguarded_uses(rules.context(spark.createDataFrame([(0, text)], "diff_id long, raw_diff string")))
     assert [(r.symbol, r.use_ord - r.guard_ord) for r in found.collect()] == [("f", 2)]
-    assert "Join" not in _plan(found) and _plan(found).count("_placed(") == 1
+    assert "Join" not in _plan(found) and _plan(found).count("posexplode(") == 1
 
 
 def test_incidents_are_not_broadcast(spark, monkeypatch):
@@ -143,7 +143,7 @@ def test_graph_of_lines_is_read_and_dealt_once(spark, lines):
     whole = semantics.graph(semantics.operations(lines), lines.select("diff_id", "file_path").distinct())
     assert sorted(map(str, semantics.line_graph(lines).collect())) == sorted(map(str, whole.collect()))
     plan = catalog.QUERIES["patch_graph"](spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "_placed(" not in plan
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1
 
 
 def test_more_items_take_more_tasks(spark, monkeypatch):
