@@ -109,3 +109,12 @@ def test_code_tree_feeds_all_rules(spark, tmp_path):
     (tmp_path / "A.cs").write_text("\n".join(["var h = MD5.Create();", *GETTER[:2], "total = 5;", *GETTER[3:], "interface IFoo { }"]))
     found = {(r.rule_id, r.check) for r in rules.evaluate_tree(stores.code_tree(spark, str(tmp_path))).collect()}
     assert {("GCI0012", "weak hash"), ("GCI0036", "mutation in a pure context"), ("GCI0045", "single-use interface")} <= found
+
+
+def test_more_documents_take_more_tasks(spark, monkeypatch):
+    """Whole texts are dealt once, by as many tasks as there are documents for, and cut into lines where they lie."""
+    monkeypatch.setattr(catalog, "DOCS_AT_ONCE", 10)
+    n = spark.read.parquet(f"{SF}/documents.parquet").count()
+    for name in ["rule_findings", "flagship"]:
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and f", {-(-n // 10)}), REPARTITION_BY_NUM" in plan
