@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from riskloom.llm.bpe import encoder, text_slices, vocabulary_path
 from riskloom.llm.common import doc_texts, new_folder, record, table, tidy, written
 
-MOST_BITS, LANE, BLOCK_IDS = 20, 128, 1 << 19
+MOST_BITS, LANE, BLOCK_IDS, STEP = 20, 128, 1 << 19, 1 << 14
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("ids", pa.binary())])
+_ENCODED = _IDS.append(pa.field("counts", pa.binary()))
 _BLOCK = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int64())), ("start_bits", pa.list_(pa.int64())), ("lane_bits", pa.binary()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("payload_crc32", pa.int64())])
 BLOCK = "part int, block long, doc_ids array<long>, n_tokens array<long>, start_bits array<long>, lane_bits binary, n_ids long, payload binary, payload_crc32 long"
 
@@ -75,62 +76,67 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
 
 def pack_bits(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The codes one after another, high bit first, and the bit offset of each id (one more at the end)."""
-    n = lengths[ids]
-    ends = np.cumsum(n)
-    starts = ends - n
-    total = int(ends[-1]) if len(ids) else 0
+    starts = np.zeros(len(ids) + 1, np.int64)
+    np.cumsum(lengths[ids], out=starts[1:])
+    total = int(starts[-1])
     words = np.zeros(total // 64 + 3, np.uint64)
-    word, shift = starts >> 6, (starts & 63).astype(np.uint64)
-    left = codes[ids] << (64 - n).astype(np.uint64)  # at the top of 64 bits
-    first, second = left >> shift, np.where(shift > 0, left << ((64 - shift) & np.uint64(63)), np.uint64(0))
-    for part, at in ((first, word), (second, word + 1)):  # bits of different codes never overlap, so sums are unions
-        edge = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.zeros(0, np.int64)
-        if len(edge):
-            words[at[edge]] |= np.bitwise_or.reduceat(part, edge)
-    return words.astype(">u8").tobytes()[: (total + 7) // 8], np.append(starts, total)
+    tops = codes << (64 - lengths).astype(np.uint64)  # at the top of 64 bits
+    for a in range(0, len(ids), STEP):  # arrays that stay in the processor's cache
+        at, left = starts[a : a + STEP + 1], tops[ids[a : a + STEP]]
+        at, ends = at[:-1], at[1:]
+        word, shift = at >> 6, (at & 63).astype(np.uint64)
+        edge = np.flatnonzero(np.diff(word, prepend=-1))
+        words[word[edge]] |= np.bitwise_or.reduceat(left >> shift, edge)  # bits of different codes never overlap
+        over = np.flatnonzero((ends - 1) >> 6 != word)  # one code at most goes on in the next word
+        words[word[over] + 1] |= left[over] << (np.uint64(64) - shift[over])
+    return words.astype(">u8").tobytes()[: (total + 7) // 8], starts
 
 
 class Decoder:
-    """Table-driven: the next MOST_BITS bits index the table of ids and code lengths."""
+    """Table-driven: the next bits, as many as the longest code has, index the table of ids and code lengths."""
 
     def __init__(self, lengths: np.ndarray, most: int = MOST_BITS):
-        self.most = most
+        self.most = min(most, max(1, int(lengths.max(initial=1))))
         order = np.lexsort((np.arange(len(lengths)), lengths))
         order = order[lengths[order] > 0]
-        spans = 1 << (most - lengths[order])
-        self.ids = np.zeros(1 << most, np.uint32)
-        self.bits = np.ones(1 << most, np.uint8)
-        filled = np.repeat(order, spans)
-        self.ids[: len(filled)] = filled
-        self.bits[: len(filled)] = lengths[filled]
+        kind = np.uint32 if len(lengths) <= 1 << 27 else np.uint64
+        self.table = np.ones(1 << self.most, kind)  # the id, and 5 bits for the length of its code
+        filled = np.repeat((order.astype(kind) << kind(5)) | lengths[order].astype(kind), 1 << (self.most - lengths[order]))
+        self.table[: len(filled)] = filled
 
     def decode(self, payload: bytes, lane_bits: np.ndarray, n_ids: int, lane: int = LANE) -> np.ndarray:
         data = np.frombuffer(payload + bytes(8), np.uint8).astype(np.uint32)
         data = (data[:-3] << np.uint32(24)) | (data[1:-2] << np.uint32(16)) | (data[2:-1] << np.uint32(8)) | data[3:]  # 32 bits from each byte on
-        at, lanes = lane_bits.astype(np.int64).copy(), len(lane_bits)
-        out = np.zeros((lanes, lane), np.uint32)
-        mask = np.uint32((1 << self.most) - 1)
+        at, lanes = lane_bits.astype(np.int64), len(lane_bits)
+        out = np.zeros((lane, lanes), self.table.dtype)
+        down, mask = np.int64(32 - self.most), np.int64((1 << self.most) - 1)
         last = n_ids - (lanes - 1) * lane if lanes else 0
         for k in range(lane if lanes > 1 else last):
             a = at if k < last else at[:-1]
-            code = (data[a >> 3] >> (np.uint32(32 - self.most) - (a & 7).astype(np.uint32))) & mask
-            out[: len(a), k] = self.ids[code]
-            a += self.bits[code]
-        return out.reshape(-1)[:n_ids]
+            out[k, : len(a)] = found = self.table[(data[a >> 3] >> (down - (a & 7))) & mask]
+            a += found & 31
+        return (out >> 5).T.astype(np.uint32).reshape(-1)[:n_ids]
 
 
 def _encoded(path: str, end_id: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ids of 16 bits where the vocabulary allows, of documents in order; `place` counts them in the task."""
+    """Ids of 16 bits where the vocabulary allows, of documents in order; `place` counts them in the task. A last row
+    without a place holds how often each id occurs in the task."""
     encode, place, part = encoder(path), 0, TaskContext.get().partitionId() << 40
+    total = np.zeros(0, np.int64)
     for batch in batches:
         for rows, texts in text_slices(batch):
             found, counts = encode.ids(texts)
             ids = np.insert(found, np.cumsum(counts), end_id)
-            narrow = ids.max(initial=0) < 1 << 16
+            n = np.bincount(ids, minlength=len(total))
+            n[: len(total)] += total
+            total = n
+            narrow = len(n) <= 1 << 16
             data, width, mark = ids.astype("<u2" if narrow else "<u4").tobytes(), 2 if narrow else 4, b"\x02" if narrow else b"\x04"
             ends, n = (width * np.cumsum(counts + 1)).tolist(), len(counts)
-            yield record(_IDS, rows.column("doc_id"), np.arange(part + place, part + place + n), [mark + data[a:b] for a, b in zip([0, *ends], ends, strict=False)])
+            yield record(_ENCODED, rows.column("doc_id"), np.arange(part + place, part + place + n), [mark + data[a:b] for a, b in zip([0, *ends], ends, strict=False)], pa.nulls(n, pa.binary()))
             place += n
+    if place:
+        yield record(_ENCODED, [None], [None], [None], [total.astype("<i8").tobytes()])
 
 
 def _ids(data: bytes) -> np.ndarray:
@@ -138,18 +144,11 @@ def _ids(data: bytes) -> np.ndarray:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(0, np.int64)
     for batch in batches:
-        texts = batch.column("ids").to_pylist()
-        for at in range(0, len(texts), 500):  # a count touches every id of the vocabulary, so many texts share one
-            n = np.bincount(np.concatenate([_ids(data) for data in texts[at : at + 500]]))
-            if len(n) > len(total):
-                n[: len(total)] += total
-                total = n
-            else:
-                total[: len(n)] += n
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
+        for counts in batch.column("counts").to_pylist():
+            total = np.frombuffer(counts, "<i8")
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
 
 
 def _blocks(codebook, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,17 +184,17 @@ def _blocks(codebook, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2, folder: str | None = None) -> str:
     """Writes the files and returns their folder.
 
-    Documents are dealt by ranges of doc_id, encoded once and kept as plain ids until the counts of all are known. Both
-    later passes read those in their order, so no further shuffle is needed. Rows that repeat doc_id and text stand in for
+    Documents are dealt by ranges of doc_id, encoded and counted once, and kept as plain ids until the counts of all are
+    known. The later pass reads those in their order, so no further shuffle is needed. Rows that repeat doc_id and text stand in for
     each other, so their place in the input parts them into as many ranges as they need.
     """
     spark = docs.sparkSession
     folder, path = folder or new_folder(spark, "tokens"), vocabulary or vocabulary_path()
     rows = doc_texts(docs).withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
     ranged = rows.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie").drop("tie", "row")
-    ids = written(ranged.mapInArrow(tidy(lambda batches: _encoded(path, end_id, batches)), "doc_id long, place long, ids binary"), "ids", folder, compression="zstd")
+    ids = written(ranged.mapInArrow(tidy(lambda batches: _encoded(path, end_id, batches)), "doc_id long, place long, ids binary, counts binary"), "ids", folder, compression="zstd")
     counts = np.zeros(1, np.int64)
-    for i, n in ids.select("ids").mapInArrow(tidy(_counted), "id long, n long").groupBy("id").agg(F.sum("n")).toLocalIterator():  # one row an id of the vocabulary
+    for i, n in ids.filter("place IS NULL").select("counts").mapInArrow(tidy(_counted), "id long, n long").groupBy("id").agg(F.sum("n")).toLocalIterator():  # one row an id of the vocabulary
         if i >= len(counts):
             counts = np.concatenate([counts, np.zeros(i + 1 - len(counts), np.int64)])
         counts[i] = n
@@ -203,7 +202,7 @@ def write_tokens(docs: DataFrame, vocabulary: str | None = None, end_id: int = 2
     used = np.flatnonzero(lengths)
     spark.createDataFrame([(int(i), int(lengths[i])) for i in used], "id int, bits int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/codebook")
     codebook = spark.sparkContext.broadcast(lengths)
-    blocks = ids.mapInArrow(tidy(lambda batches: _blocks(codebook, batches)), BLOCK)
+    blocks = ids.filter("place IS NOT NULL").select(*_IDS.names).mapInArrow(tidy(lambda batches: _blocks(codebook, batches)), BLOCK)
     blocks.write.mode("overwrite").option("compression", "none").parquet(f"{folder}/blocks")
     return folder
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
-from riskloom.llm import decontaminate, exact_dedup, jaccard_join, language, language_model, packing, quality, sharding, token_counts, token_files
+from riskloom.llm import bpe, decontaminate, exact_dedup, jaccard_join, language, language_model, packing, quality, sharding, token_counts, token_files
 from riskloom.llm.bpe import encoder, vocabulary_path
 from riskloom.llm.common import fold, table
 from riskloom.llm.components import components
@@ -127,6 +127,38 @@ def test_encoder_equals_the_library():
     assert [len(x) for x in e.ids(pa.array([], pa.string()))] == [0, 0]
 
 
+def test_encoder_asks_the_library_once_for_what_comes_again(monkeypatch):
+    """Units that are more than letters are kept too, and a full store keeps what slices asked for again."""
+    e, asked = bpe.Encoder(vocabulary_path()), []
+    other, stem = e._other, e._stem
+    monkeypatch.setattr(e, "_other", lambda x: asked.append(x) or other(x))
+    monkeypatch.setattr(e, "_stem", lambda x: asked.append(x) or stem(x))
+    monkeypatch.setattr(bpe, "MOST_PIECES", 40)
+    text = "often 3.14, x_y\nheads, often"
+    for k in range(30):
+        texts = [text, " ".join("rare" + chr(97 + k) + chr(97 + j) for j in range(9))]
+        ids, n = e.ids(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in e.tokenizer.encode(t, add_special_tokens=False).ids] and n.sum() == len(ids)
+    assert asked.count("often") == asked.count("\nheads") == asked.count("3.14,") == 1
+    assert len(set(asked)) > 270 and len(e.ends) < 80
+
+
+def test_token_ids_are_counted_as_they_are_encoded(spark, tmp_path):
+    """Counts lie beside the ids, a row a task, so that the ids are read once, for the blocks; repeated in each task."""
+    texts = ["to be or not to be", None, "", "3.14, x\ny"] * 50
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    folder = token_files.write_tokens(docs, folder=str(tmp_path / "tokens"))
+    e, want = encoder(vocabulary_path()).tokenizer, Counter()
+    for t in texts:
+        want.update([*e.encode(t or "", add_special_tokens=False).ids, 2])
+    rows, found = spark.read.parquet(f"{folder}/ids").filter("place IS NULL").collect(), Counter()
+    for r in rows:
+        n = np.frombuffer(r.counts, "<i8")
+        found.update({i: int(n[i]) for i in np.flatnonzero(n).tolist()})
+    assert found == want and 1 < len(rows) <= 4
+    assert {r.id for r in spark.read.parquet(f"{folder}/codebook").collect()} == set(want)
+
+
 def test_token_files_round_trip(spark, docs, empty):
     rows = sorted(token_files.read_tokens(spark, token_files.write_tokens(docs)).collect(), key=lambda r: r.start)
     e, at = encoder(vocabulary_path()).tokenizer, 0
