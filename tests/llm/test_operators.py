@@ -130,9 +130,9 @@ def test_encoder_equals_the_library():
 def test_encoder_asks_the_library_once_for_what_comes_again(monkeypatch):
     """Units that are more than letters are kept too, and a full store keeps what slices asked for again."""
     e, asked = bpe.Encoder(vocabulary_path()), []
-    other, stem = e._other, e._stem
-    monkeypatch.setattr(e, "_other", lambda x: asked.append(x) or other(x))
-    monkeypatch.setattr(e, "_stem", lambda x: asked.append(x) or stem(x))
+    others, stems = e._others, e._stems
+    monkeypatch.setattr(e, "_others", lambda x: asked.extend(x) or others(x))
+    monkeypatch.setattr(e, "_stems", lambda x: asked.extend(x) or stems(x))
     monkeypatch.setattr(bpe, "MOST_PIECES", 40)
     text = "often 3.14, x_y\nheads, often"
     for k in range(30):
