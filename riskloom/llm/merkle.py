@@ -44,7 +44,8 @@ def _hash(children: Column) -> Column:
 
 def placed(nodes: DataFrame, folder: str, name: str) -> DataFrame:
     """nodes(tree, key, hash, ...) with idx, the place in its tree from 0, and n, the tree's size."""
-    cut = nodes.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange("tree", "key", "hash", "tie")
+    count = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # a given number is not coalesced
+    cut = nodes.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(count, "tree", "key", "hash", "tie")
     ranged = written(cut.withColumn("part", F.spark_partition_id()), name, folder, compression="zstd")
     sizes = ranged.groupBy("tree", "part").agg(F.count(F.lit(1)).alias("size"))
     tree = Window.partitionBy("tree")
