@@ -118,3 +118,30 @@ def test_more_documents_take_more_tasks(spark, monkeypatch):
     for name in ["rule_findings", "flagship"]:
         plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Exchange") == 1 and f", {-(-n // 10)}), REPARTITION_BY_NUM" in plan
+
+
+#: Groups of words and the terms of tests that ask for them.
+ASKED = {
+    "linq": rules.LINQ, "cipher": rules.WEAK_CIPHERS, "hash": rules.WEAK_HASHES, "log": rules.LOG_PREFIXES, "locator": rules.SERVICE_LOCATORS, "silenced": rules.TEST_SILENCERS, "authority": rules.AUTHORITY_HOSTS, "located": rules.LOCATOR_CALLS,
+    "cancellable": rules.CANCELLABLE_CALLS, "stub": rules.STUBS, "timeout": rules.TIMEOUTS, "cleanup": rules.CLEANUPS, "error": rules.ERROR_LOGS, "limit": rules.ITERATION_LIMITS, "resource": rules.RESOURCE_LIMITS, "input": rules.HTTP_INPUT,
+    "mock": rules.MOCKS, "crypto": rules.CRYPTO_METHODS, "disposable": rules.DISPOSABLES, "quote": rules.SQL_STARTS,
+}
+
+
+@pytest.mark.parametrize("name", ASKED)
+def test_words_stand_in_each_term(name):
+    assert [t for t in ASKED[name] if not any(w.lower() in t.lower() for w in rules.SAYS[name])] == []
+
+
+def test_words_of_diffs_change_no_finding(spark, monkeypatch):
+    """With every test made on every line, the findings are the same; lines of diffs without the words are not tested."""
+    from riskloom.plans import patch_queries
+
+    texts = [t for _, yes, no in CASES.values() for t in (*yes, *no)]
+    texts += [patch_queries.patch(*lines[2 * i : 2 * i + 2], path) for _, _, *lines, path in patch_queries.CASES for i in (0, 1)]
+    diffs = spark.createDataFrame(list(enumerate(texts)), "diff_id long, raw_diff string")
+    gated = sorted(map(str, rules.evaluate(diffs).collect()))
+    plain = spark.range(1).select(rules._said(rules.F.lit("// nothing to see")).alias("said")).first().said
+    assert plain == 0
+    monkeypatch.setattr(rules, "_said", lambda text: rules.F.lit(-1).cast("long"))
+    assert gated == sorted(map(str, rules.evaluate(diffs).collect())) and len(gated) > 50
