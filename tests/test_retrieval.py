@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from conftest import SF
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 from riskloom.operators import retrieval
+from riskloom.plans import catalog
 
 NAN, INF = float("nan"), float("inf")
 
@@ -38,3 +40,11 @@ def test_top_k_broadcasts_nothing(spark):
     df = retrieval.top_k(table.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), table, 2)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 100 and "Broadcast" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_every_vector_is_adjudicated(spark):
+    """Not only vectors of some ids ask for their best."""
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    want = brute(table.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), table, 1, 0.4).drop("rank")
+    found = catalog.QUERIES["adjudicate_top1"](spark, SF).collect()
+    assert sorted(map(str, found)) == sorted(map(str, want.collect())) and any(r.query_id % 100 for r in found)
